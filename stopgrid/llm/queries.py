@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontam, linededup, mixing, quality, secrets, tokens
+from . import chat, decontam, linededup, mixing, quality, secrets, spots, tokens
 from .common import table
 
 #: A conversation that every run formats besides the table's: texts that are made of control strings.
@@ -42,6 +42,10 @@ def op6_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.report(secrets.scan(table(spark, sf_dir, "documents")))
 
 
+def op7_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spots.against_edits(table(spark, sf_dir, "documents"))
+
+
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = linededup.marked(table(spark, sf_dir, "documents").select("doc_id", "text"))
     removed = F.coalesce(F.size("_gone"), F.lit(0))
@@ -60,6 +64,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_quality_classifier": op4_quality_classifier,
     "op5_benchmark_decontamination": op5_benchmark_decontamination,
     "op6_secret_scans": op6_secret_scans,
+    "op7_document_fingerprints": op7_document_fingerprints,
     "op8_line_dedup": op8_line_dedup,
     "op10_mixing": op10_mixing,
 }
