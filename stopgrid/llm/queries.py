@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontam, linededup, mixing, quality, secrets, spots, tokens
+from . import chat, decontam, jaccard, linededup, mixing, quality, secrets, spots, tokens
 from .common import table
 
 #: A conversation that every run formats besides the table's: texts that are made of control strings.
@@ -54,6 +54,10 @@ def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", n_lines.cast("long").alias("n_lines"), F.when(F.col("_gone").isNull(), 0).otherwise(removed).cast("long").alias("n_removed"), F.sha2(F.coalesce(kept, F.lit("")), 256).alias("kept_sha256"))
 
 
+def op9_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.link_components(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
+
+
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
@@ -66,6 +70,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_secret_scans": op6_secret_scans,
     "op7_document_fingerprints": op7_document_fingerprints,
     "op8_line_dedup": op8_line_dedup,
+    "op9_ngram_jaccard_join": op9_ngram_jaccard_join,
     "op10_mixing": op10_mixing,
 }
 
