@@ -22,6 +22,10 @@ class Words(dict):
         return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
 
 
+#: One cache for all tasks of a worker.
+WORDS = Words()
+
+
 def mixed(h: np.ndarray) -> np.ndarray:
     h = h ^ (h >> np.uint64(32))
     h = h * np.uint64(0xD6E8FEB86659FD93)
