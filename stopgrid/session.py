@@ -16,3 +16,21 @@ def configure(builder: SparkSession.Builder) -> SparkSession.Builder:
     }.items():
         builder = builder.config(key, value)
     return builder
+
+
+def ship(spark: SparkSession) -> None:
+    """Sends this package to the executors, once for each context, so that Python functions run there wherever the driver was started."""
+    import tempfile
+    import zipfile
+    from pathlib import Path
+
+    sc = spark.sparkContext
+    if getattr(sc, "_stopgrid_sent", False):
+        return
+    root = Path(__file__).resolve().parent
+    path = Path(tempfile.mkdtemp(prefix="stopgrid-")) / "stopgrid-package.zip"
+    with zipfile.ZipFile(path, "w") as z:
+        for f in sorted(root.rglob("*.py")):
+            z.write(f, f.relative_to(root.parent))
+    sc.addPyFile(str(path))
+    sc._stopgrid_sent = True
