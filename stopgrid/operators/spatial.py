@@ -88,3 +88,16 @@ def line_join(points: DataFrame, lines: DataFrame, m: float) -> DataFrame:
     met = points.withColumn("_cx", geo.cell(F.col("lon"), size)).withColumn("_cy", geo.cell(F.col("lat"), size)).join(cells, ["_cx", "_cy"]).drop("_cx", "_cy")
     met = met.withColumn("near", geo.closest_point(F.col("path"), F.col("lon"), F.col("lat"))).where(F.sqrt("near.d2") <= reach)
     return met.withColumn("d", geo.dist_m(F.col("near.lon"), F.col("near.lat"), F.col("lon"), F.col("lat"))).where(F.col("d") <= m)
+
+
+def near_polygons(points: DataFrame, polygons: DataFrame, m: float) -> DataFrame:
+    """points (lon, lat) at most m metres from polygons (rings) or inside, in degrees scaled by the point's latitude (up to 80°)."""
+    limit = F.lit(float(m)) / (F.lit(geo.LON_METRES) * F.cos(F.radians(F.col("lat"))))
+    most = m / (geo.LON_METRES * 0.17)
+    size = max(0.05, most)
+    box = geo.bbox(F.col("rings"))
+    xs = F.sequence(geo.cell(box["x0"] - most, size), geo.cell(box["x1"] + most, size))
+    ys = F.sequence(geo.cell(box["y0"] - most, size), geo.cell(box["y1"] + most, size))
+    cells = polygons.withColumn("_cx", F.explode(xs)).withColumn("_cy", F.explode(ys))
+    met = points.withColumn("_cx", geo.cell(F.col("lon"), size)).withColumn("_cy", geo.cell(F.col("lat"), size)).join(cells, ["_cx", "_cy"]).drop("_cx", "_cy")
+    return met.where(geo.polygon_distance(F.col("rings"), F.col("lon"), F.col("lat")) <= limit)
