@@ -2,13 +2,14 @@
 
 Rare-first prefix filtering: shingles are in one order for all documents, by an estimate of how frequent they are in the whole corpus
 (a count sketch of fixed size over every document) and then by hash. Two sets that are similar enough share a shingle among the first
-n - ceil(t * n) + 1 of each, so sets only meet on those. Length, positional and suffix filters (bounds of the overlap from lengths,
+n - ceil(t * n) + 1 of each, and one more for each that the prefix is longer; so sets only meet on their prefixes, which are n / EXTRA
+longer here, and a set that has fewer prefix shingles in common with others than that asks for is alone. Length, positional and suffix filters (bounds of the overlap from lengths,
 places in the prefix, and counts by hash range) leave the pairs that are verified, each once at most, by exact intersection.
 
 Nothing is made for all pairs of a group:
 1. Documents of equal sets are one class from the start; only one of them is shingled further.
-2. A prefix shingle's postings come sorted by length, and each is tied to the first of its run of compatible lengths. The components of
-   these ties hold every possible link; classes without a tie are alone.
+2. A prefix shingle's postings come sorted by length. Those in a run of compatible lengths are counted for each class; of classes with
+   enough of them, each posting is tied to the first of its run. The components of these ties hold every possible link.
 3. The sets of a tied group go to one task, or, over BLOCK shingles, in blocks, each two of which meet in one task. A task joins on
    prefixes and verifies a pair only if its documents aren't in one component yet; it returns a tree for each component.
 4. The components of the trees are those of the links: no link between different texts is lost.
@@ -35,8 +36,9 @@ from .common import written
 from .graph import components
 from .shingles import Words, shingle_set
 
-#: Counters of the frequency sketch (two rows), slices in which it is summed, shingles of a block, bits of the filter of tied classes.
-WIDTH, SLICES, BLOCK, BITS = 1 << 18, 16, 1 << 17, 1 << 23
+#: Counters of the frequency sketch (two rows), slices in which it is summed, shingles of a block, bits of the filter of texts needed,
+#: and the share (1 / EXTRA) of a set by which its prefix is longer than it must be.
+WIDTH, SLICES, BLOCK, BITS, EXTRA = 1 << 18, 16, 1 << 17, 1 << 23, 20
 RANGES = 256
 THRESHOLD = Fraction(85, 100)
 
@@ -97,9 +99,14 @@ def frequency(first: DataFrame) -> Broadcast:
     return first.sparkSession.sparkContext.broadcast(sketch.reshape(2, WIDTH))
 
 
-def rare_first(s: np.ndarray, sketch: np.ndarray) -> np.ndarray:
+def order_of(s: np.ndarray, sketch: np.ndarray) -> np.ndarray:
+    """A key that sorts a set's shingles (which are sorted by hash) rare first; equal keys stay in the order of hashes."""
     a, b = columns_of(s)
-    return s[np.lexsort((s, np.minimum(sketch[0][a], sketch[1][b])))]
+    return (np.minimum(np.minimum(sketch[0][a], sketch[1][b]), 2**20 - 1).astype(np.uint64) << np.uint64(44)) | (s >> np.uint64(20))
+
+
+def rare_first(s: np.ndarray, sketch: np.ndarray) -> np.ndarray:
+    return s[np.argsort(order_of(s, sketch), kind="stable")]
 
 
 def least_overlap(n: int, t: Fraction) -> int:
@@ -107,7 +114,7 @@ def least_overlap(n: int, t: Fraction) -> int:
 
 
 def prefix_length(n: int, t: Fraction) -> int:
-    return n - least_overlap(n, t) + 1
+    return n - least_overlap(n, t) + 1 + n // EXTRA
 
 
 def needed(na, nb, t: Fraction):  # noqa: ANN001, ANN201
@@ -128,7 +135,8 @@ def postings(docs: DataFrame, sketch: Broadcast, t: Fraction, k: int) -> DataFra
                     continue
                 if len(seen) < 1_000_000:
                     seen.add(c)
-                p = rare_first(s, sketch.value)[: prefix_length(len(s), t)]
+                m = prefix_length(len(s), t)
+                p = rare_first(s, sketch.value)[:m] if m < len(s) else s
                 tokens.append(p)
                 classes.append(np.full(len(p), c, np.int64))
                 sizes.append(np.full(len(p), len(s), np.int32))
@@ -138,6 +146,41 @@ def postings(docs: DataFrame, sketch: Broadcast, t: Fraction, k: int) -> DataFra
     return docs.select("text").mapInArrow(run, "token long, cls long, n int")
 
 
+def shared(found: DataFrame, t: Fraction) -> DataFrame:
+    """The postings that have another class's beside them, with a compatible length; repeated ones of a class once."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)]  # the last posting, as the next batch decides on it
+        was = np.zeros(0, bool)
+        for b in batches:
+            tk, cl, n = (np.concatenate([h, b.column(c).to_numpy().astype(np.int64)]) for h, c in zip(held, ("token", "cls", "n"), strict=True))
+            fresh = np.ones(len(tk), bool)
+            fresh[1:] = (tk[1:] != tk[:-1]) | (cl[1:] != cl[:-1])
+            tk, cl, n = tk[fresh], cl[fresh], n[fresh]
+            if not len(tk):
+                continue
+            before = np.zeros(len(tk), bool)
+            before[: len(was)] = was
+            before[1:] = (tk[1:] == tk[:-1]) & (n[:-1] * t.denominator >= n[1:] * t.numerator)
+            keep = before.copy()
+            keep[:-1] |= before[1:]
+            held, was = [tk[-1:], cl[-1:], n[-1:]], before[-1:]
+            pick = np.flatnonzero(keep[:-1])
+            if len(pick):
+                yield pa.RecordBatch.from_arrays([pa.array(tk[pick]), pa.array(cl[pick]), pa.array(n[pick].astype(np.int32))], ["token", "cls", "n"])
+        if len(was) and was[0]:
+            yield pa.RecordBatch.from_arrays([pa.array(held[0]), pa.array(held[1]), pa.array(held[2].astype(np.int32))], ["token", "cls", "n"])
+
+    return written(found.repartition("token").sortWithinPartitions("token", "n", "cls").mapInArrow(run, "token long, cls long, n int"), "shared")
+
+
+def enough(postings: DataFrame, t: Fraction) -> DataFrame:
+    """The postings of classes that have as many of them as a link asks for: a partner's prefix may be that of a set t times as long."""
+    least = f"1 + floor(floor((n * {t.numerator}L + {t.denominator - 1}L) / {t.denominator}) / {EXTRA})"
+    good = postings.groupBy("cls", "n").agg(F.count(F.lit(1)).alias("held")).where(f"held >= {least}").select("cls")
+    return postings.join(good, "cls", "left_semi")
+
+
 def ties(found: DataFrame, t: Fraction) -> DataFrame:
     """u, v: each posting beside the first of its run; in a run, each set is long enough for the next longer one."""
 
@@ -160,13 +203,24 @@ def ties(found: DataFrame, t: Fraction) -> DataFrame:
     return found.repartition("token").sortWithinPartitions("token", "n", "cls").mapInArrow(run, "u long, v long").distinct()
 
 
-def tied_filter(labels: DataFrame) -> Broadcast:
-    """A bit for each tied class's hash: lets most other documents be passed over where they are read. Its size is fixed; when it fills up at scale, it only lets more through."""
+def places(first: DataFrame, labels: DataFrame) -> DataFrame:
+    """cls, row (of one of its texts), tied, i, j, block: the tasks (pairs of blocks of a tied group) in which a class's set is needed."""
+    one = first.where("n > 0").groupBy("cls").agg(F.min("n").alias("n"), F.min("row").alias("row"))
+    member = labels.select(F.col("node").alias("cls"), F.col("label").alias("tied")).join(one, "cls")
+    blocks = member.groupBy("tied").agg(F.ceil(F.sum("n") / BLOCK).cast("int").alias("blocks"))
+    dealt = member.join(blocks, "tied").withColumn("block", F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    return written(dealt.select("cls", "row", "tied", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block"), "places")
+
+
+def wanted(found: DataFrame) -> Broadcast:
+    """A bit for each text that is needed: lets most other documents be passed over where they are read, before they are shingled.
+    Its size is fixed; when it fills up at scale, it only lets more through."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = np.zeros(BITS, bool)
         for b in batches:
-            bits[b.column("node").to_numpy() & (BITS - 1)] = True
+            bits[b.column("row").to_numpy() & (BITS - 1)] = True
         if bits.any():
             yield pa.RecordBatch.from_arrays([pa.array([0], pa.int32()), pa.array([np.packbits(bits).tobytes()], pa.binary())], ["part", "bits"])
 
@@ -176,19 +230,20 @@ def tied_filter(labels: DataFrame) -> Broadcast:
             out |= np.frombuffer(x, np.uint8)
         return pd.DataFrame({"part": [0], "bits": [out.tobytes()]})
 
-    rows = labels.select("node").coalesce(64).mapInArrow(run, "part int, bits binary").groupBy("part").applyInPandas(either, "part int, bits binary").collect()
+    rows = found.select("row").coalesce(64).mapInArrow(run, "part int, bits binary").groupBy("part").applyInPandas(either, "part int, bits binary").collect()
     bits = np.unpackbits(np.frombuffer(rows[0]["bits"], np.uint8)).astype(bool) if rows else np.zeros(BITS, bool)
-    return labels.sparkSession.sparkContext.broadcast(bits)
+    return found.sparkSession.sparkContext.broadcast(bits)
 
 
-def sets_of(docs: DataFrame, tied: Broadcast, k: int) -> DataFrame:
+def sets_of(docs: DataFrame, asked: Broadcast, k: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, seen = Words(), set()
         for b in batches:
+            pick = np.flatnonzero(asked.value[b.column("row").to_numpy() & (BITS - 1)])
             out = []
-            for text in b.column("text").to_pylist():
+            for text in b.column("text").take(pa.array(pick)).to_pylist():
                 s = shingle_set(text, words, k)
-                if not len(s) or (c := class_of(s)) in seen or not tied.value[c & (BITS - 1)]:
+                if not len(s) or (c := class_of(s)) in seen:
                     continue
                 if len(seen) < 1_000_000:
                     seen.add(c)
@@ -196,7 +251,7 @@ def sets_of(docs: DataFrame, tied: Broadcast, k: int) -> DataFrame:
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array([c for c, _ in out], pa.int64()), pa.array([s for _, s in out], pa.binary())], ["cls", "shingles"])
 
-    return docs.select("text").mapInArrow(run, "cls long, shingles binary")
+    return docs.select(F.xxhash64("text").alias("row"), "text").mapInArrow(run, "cls long, shingles binary")
 
 
 def link(classes: np.ndarray, sets: list[np.ndarray], sketch: np.ndarray, t: Fraction, side: np.ndarray | None = None) -> tuple[list[tuple[int, int]], int]:
@@ -254,21 +309,17 @@ def link(classes: np.ndarray, sets: list[np.ndarray], sketch: np.ndarray, t: Fra
     return tree, verified
 
 
-def verified_links(sets: DataFrame, labels: DataFrame, sketch: Broadcast, t: Fraction) -> DataFrame:
+def verified_links(sets: DataFrame, found: DataFrame, sketch: Broadcast, t: Fraction) -> DataFrame:
     """u, v: a tree for each component of the links, by tasks that hold two blocks of a tied group at most."""
-    own = sets.join(labels.select(F.col("node").alias("cls"), F.col("label").alias("tied")), "cls")
-    own = written(own.withColumn("n", (F.length("shingles") / 8).cast("long")).dropDuplicates(["cls"]), "sets")
-    blocks = own.groupBy("tied").agg(F.ceil(F.sum("n") / BLOCK).cast("int").alias("blocks"))
-    dealt = own.join(blocks, "tied").withColumn("block", F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int"))
-    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.select("tied", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "cls", "shingles")
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.drop_duplicates("cls")
         i, j = int(pdf["i"].iloc[0]), int(pdf["j"].iloc[0])
         side = None if i == j else (pdf["block"].to_numpy() == j).astype(np.int8)
         tree, _ = link(pdf["cls"].to_numpy(), [np.frombuffer(s, np.uint64) for s in pdf["shingles"]], sketch.value, t, side)
         return pd.DataFrame(tree, columns=["u", "v"], dtype="int64")
 
+    dealt = sets.join(found.drop("row"), "cls")
     return dealt.groupBy("tied", "i", "j").applyInPandas(run, "u long, v long")
 
 
@@ -276,8 +327,9 @@ def link_components(docs: DataFrame, threshold: Fraction = THRESHOLD, k: int = 4
     """doc_id, row (a hash of the text), n_shingles and component_id of every document."""
     first = first_pass(docs, k)
     sketch = frequency(first)
-    tied = components(ties(postings(docs, sketch, threshold, k), threshold))
-    links = verified_links(sets_of(docs, tied_filter(tied), k), tied, sketch, threshold)
+    tied = components(ties(enough(shared(postings(docs, sketch, threshold, k), threshold), threshold), threshold))
+    found = places(first, tied)
+    links = verified_links(sets_of(docs, wanted(found), k), found, sketch, threshold)
     joined = components(links).select(F.col("node").alias("cls"), "label")
     rows = first.where("slice is null").select("doc_id", "row", "cls", F.col("n").alias("n_shingles"))
     least = rows.where("n_shingles > 0").groupBy("cls").agg(F.min("doc_id").alias("least"))
