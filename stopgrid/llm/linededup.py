@@ -9,8 +9,9 @@ a substitution there) and without it (equal to another line's own hash: an inser
 first kind are near each other, and all with a variant equal to a whole line are near that line; so one minimum for each key finds the
 earliest, without pairs. The edit distance of each line and the earliest found for it is then verified.
 
-Variants are only emitted where they can meet: by the pigeonhole principle two near lines have the first or the last half in common
-(taken at the shorter one's length), so lines that share neither half with another distinct line have no near ones but equal ones.
+Variants are only emitted where they can meet: by the pigeonhole principle, of two near lines cut into parts (at the shorter one's
+length) all parts but one are equal. So first lines that share neither half with another distinct line are left out, then those that
+share no 15 of 16 parts; they have no near ones but equal ones.
 Variants' keys are running XORs of hashes of (character, place), so a line of n characters costs n rows, not n squared.
 
 Null texts stay null. Repeated documents are told apart by the hash of their text, equal rows of one doc_id count once (all their
@@ -24,6 +25,9 @@ from pyspark.sql import functions as F
 
 from .common import written
 
+#: Parts of a line in the second sieve.
+PARTS = 16
+
 
 def normal(line: Column) -> Column:
     return F.trim(F.regexp_replace(F.regexp_replace(F.lower(line), r"[0-9]", "0"), r"[\x09-\x0D\x20 ]+", " "))
@@ -40,32 +44,40 @@ def place() -> Column:
     return F.struct("doc_id", "row", "at")
 
 
-def half_keys(norm: Column, n: Column) -> Column:
-    """Hashes of the first and last halves, at the two lengths at which a near line may have its own."""
+def part_keys(norm: Column, parts: int) -> Column:
+    """Hashes of a line without one of its parts, for each part, at the two lengths at which a near line may be cut."""
+    n = F.length(norm)
+
     def at(m: Column) -> list[Column]:
-        return [F.xxhash64(F.lit("a"), m, F.left(norm, m)), F.xxhash64(F.lit("b"), m, F.right(norm, m))]
+        cut = [F.floor(m * q / parts).cast("int") for q in range(parts + 1)]
+        return [F.xxhash64(F.lit(q), m, F.left(norm, cut[q]), F.right(norm, m - cut[q + 1])) for q in range(parts)]
+
+    return F.array(*at(n), *at(F.greatest(n - 1, F.lit(0))))
+
 
-    return F.array_distinct(F.array(*at(F.floor(n / 2).cast("int")), *at(F.floor((n - 1) / 2).cast("int"))))
+def sharing(keyed: DataFrame) -> DataFrame:
+    """keyed: line, keys. The lines that have a key in common with another line."""
+    each = keyed.select("line", F.explode("keys").alias("key"))
+    shared = each.groupBy("key").agg(F.min("line").alias("a"), F.max("line").alias("b")).where("a <> b").select("key")
+    return each.join(shared, "key", "left_semi").select("line").distinct()
 
 
 def line_table(docs: DataFrame) -> DataFrame:
     """doc_id, row, at, line (a hash) and half keys of every line, written once: the texts are read and folded in one pass."""
-    n = F.length("norm")
-    return written(lines_of(docs).select("doc_id", "row", "at", F.xxhash64("norm").alias("line"), half_keys(F.col("norm"), n).alias("keys")), "lines")
+    return written(lines_of(docs).select("doc_id", "row", "at", F.xxhash64("norm").alias("line"), part_keys(F.col("norm"), 2).alias("keys")), "lines")
 
 
 def candidates(docs: DataFrame, table: DataFrame) -> DataFrame:
-    """line, first and norm of the distinct lines that share a half with another."""
-    distinct = table.groupBy("line").agg(F.min(place()).alias("first"), F.any_value("keys").alias("keys"))
-    keyed = distinct.select("line", "first", F.explode("keys").alias("key"))
-    shared = keyed.groupBy("key").agg(F.min("line").alias("a"), F.max("line").alias("b")).where("a <> b").select("key")
-    chosen = keyed.join(shared, "key", "left_semi").groupBy("line").agg(F.min("first").alias("first"))
+    """line, first and norm of the distinct lines that may have near ones."""
+    chosen = table.drop("keys").join(sharing(table.select("line", "keys")), "line", "left_semi").groupBy("line").agg(F.min(place()).alias("first"))
     # the text of a candidate comes from its earliest place; only documents with such places are dealt
     wanted = chosen.groupBy("first.doc_id", "first.row").agg(F.collect_set("first.at").alias("ats")).select(F.col("doc_id").alias("d"), F.col("row").alias("w"), "ats")
+    wanted = written(wanted, "wanted")
     held = docs.where("text is not null").select("doc_id", F.xxhash64("text").alias("row"), "text").join(wanted, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("row") == F.col("w")))
     each = held.select("doc_id", "row", "ats", F.posexplode(F.split("text", "\n")).alias("at", "line")).where(F.array_contains("ats", F.col("at")))
     text = each.select(place().alias("first"), normal(F.col("line")).alias("norm"))
-    return text.select(F.xxhash64("norm").alias("line"), "first", "norm").dropDuplicates(["line"])
+    text = written(text.select(F.xxhash64("norm").alias("line"), "first", "norm").dropDuplicates(["line"]), "half-lines")
+    return text.join(sharing(text.select("line", part_keys(F.col("norm"), PARTS).alias("keys"))), "line", "left_semi")
 
 
 def near_lines(docs: DataFrame, table: DataFrame) -> DataFrame:
@@ -93,7 +105,7 @@ def near_lines(docs: DataFrame, table: DataFrame) -> DataFrame:
     sides = pairs.select("line", F.col("other.line").alias("partner"), F.col("other.first").alias("near"))
     norms = text.select("line", "norm")
     verified = sides.join(norms, "line").join(norms.select(F.col("line").alias("partner"), F.col("norm").alias("norm2")), "partner").where(F.levenshtein("norm", "norm2", 1) >= 0)
-    return verified.select("line", "near")
+    return written(verified.select("line", "near"), "near")
 
 
 def removed_lines(docs: DataFrame) -> DataFrame:
