@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 Query = Callable[[SparkSession, str], DataFrame]
-MODULES: tuple[str, ...] = ("queries_relational", "queries_functions")
+MODULES: tuple[str, ...] = ("queries_relational", "queries_functions", "queries_steps")
 
 
 def _all() -> tuple[dict[str, Query], dict[str, str]]:
