@@ -18,6 +18,7 @@ Rows are kept as they are, repeated ones too; lang, source, labels and other col
 from __future__ import annotations
 
 import re
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 
@@ -42,14 +43,13 @@ def shape_of(word: str) -> str:
 class Keys(dict):
     """word -> its own hash (32 bits), its shape's number (9 bits) and its number in the vocabulary (12 bits); a bounded cache."""
 
-    def __init__(self, vocabulary: list[str]):
+    def __init__(self, vocabulary: list[str], most: int = 400_000):
         super().__init__()
+        self.most = most
         self.known = {w: i + 1 for i, w in enumerate(vocabulary)}
 
     def __missing__(self, word: str) -> int:
-        import zlib
-
-        if len(self) > 400_000:
+        if len(self) > self.most:
             self.clear()
         own = zlib.crc32(word.encode("utf-8", "surrogatepass"))
         shape = zlib.crc32(shape_of(word).encode("utf-8", "surrogatepass")) % (SHAPES // 2)
@@ -92,20 +92,31 @@ def index_vectors(n: int, rng: np.random.Generator) -> np.ndarray:
     return out
 
 
-def fit(texts: list[str | None], labels: list[int], seed: int = 7) -> Model:
-    rng = np.random.default_rng(seed)
+def frequent(texts: list[str | None]) -> list[str]:
+    """The most frequent words, but for those seen once or twice. Hash counts leave most rare words out before any word is held."""
+    size = 1 << 20
+    counts = np.zeros(size, np.int64)
+    own = lambda w: zlib.crc32(w.encode("utf-8", "surrogatepass")) & (size - 1)
+    for t in texts:
+        words = (t or "").lower().split()
+        np.add.at(counts, np.fromiter(map(own, words), np.int64, len(words)), 1)
+    least = max(3, int(np.sort(counts)[-2 * VOCABULARY]))  # more words than the vocabulary holds reach this count, or all do
     seen: Counter = Counter()
     for t in texts:
-        seen.update((t or "").lower().split())
-    vocabulary = [w for w, c in sorted(seen.items(), key=lambda x: (-x[1], x[0]))[: VOCABULARY - 1] if c > 2]
-    del seen
-    keys = Keys(vocabulary)
+        seen.update(w for w in (t or "").lower().split() if counts[own(w)] >= least)
+    return [w for w, c in sorted(seen.items(), key=lambda x: (-x[1], x[0]))[: VOCABULARY - 1] if c > 2]
+
+
+def fit(texts: list[str | None], labels: list[int], seed: int = 7) -> Model:
+    rng = np.random.default_rng(seed)
+    vocabulary = frequent(texts)
+    keys = Keys(vocabulary, 100_000)
     rows = [keys.of(t) for t in texts]
     index_w, index_s = index_vectors(VOCABULARY, rng), index_vectors(SHAPES, rng)
     index_w[0] = 0
     words, shapes = np.zeros((VOCABULARY, DIM)), np.zeros((SHAPES, DIM))
-    for k in range(0, len(rows), 500):
-        part = rows[k : k + 500]
+    for k in range(0, len(rows), 50):
+        part = rows[k : k + 50]
         for step in (1, 2):
             a, b = (np.concatenate([r[i][:-step] if len(r[i]) > step else r[i][:0] for r in part]) for i in (0, 1))
             c, d = (np.concatenate([r[i][step:] for r in part]) for i in (0, 1))
