@@ -435,7 +435,8 @@ def boundary_names(boundaries: DataFrame, overrides: DataFrame) -> DataFrame:
     rows = boundaries.select("relation_id", "admin_level", "tags").join(co, "relation_id", "left").where("admin_level between 4 and 8 or _city")
     rows = rows.select("relation_id", F.explode(map_overlay(F.col("tags"), extra)).alias("k", "v"))
     rows = rows.where((F.col("k") == "name") | F.col("k").rlike(r"^name:[a-z]{2,3}\z") | F.col("k").startswith("override") | F.col("k").isin("int_name", "alt_name", "official_name", "short_name"))
-    full = rows.select("relation_id", T.search_fold(F.trim(F.explode(F.split("v", rf"{T.SPACE}+-{T.SPACE}+|{T.SPACE}*/{T.SPACE}*|;")))).alias("full"))
+    cut = rows.select("relation_id", F.explode(F.split("v", rf"{T.SPACE}+-{T.SPACE}+|{T.SPACE}*/{T.SPACE}*|;")).alias("part"))
+    full = cut.select("relation_id", T.search_fold(F.trim("part")).alias("full"))
     short = F.when(~F.col("full").rlike("[ a-z]") & (F.length("full") >= 3), F.substring(F.col("full"), F.lit(1), F.length("full") - 1))
     return full.select("relation_id", F.explode(F.array("full", T.bare_name(F.col("full")), short)).alias("name")).where("length(name) >= 2").distinct()
 
@@ -457,7 +458,7 @@ def needs_place(st: DataFrame, boundaries: DataFrame, overrides: DataFrame, plac
 def search_names(st: DataFrame, objects: DataFrame, rels: DataFrame) -> DataFrame:
     """station_id, mode, name, city_prefixed, place, code: every spelling to search on."""
     values = F.array_compact(F.concat(F.map_values("names"), F.array("latin")))
-    own = st.select("station_id", "mode", F.explode(values).alias("v")).select("station_id", "mode", F.trim(F.explode(F.split("v", ";"))).alias("name")).where("name <> ''").distinct()
+    own = st.select("station_id", "mode", F.explode(F.flatten(F.transform(values, lambda v: F.split(v, ";")))).alias("part")).select("station_id", "mode", F.trim("part").alias("name")).where("name <> ''").distinct()
     lifts = st.select("station_id", F.explode(F.array_compact(F.array("line_name", "ski_area"))).alias("prefix"))
     lines = own.join(lifts, "station_id").where(~F.contains(T.search_fold(F.col("name")), T.search_fold(F.col("prefix")))).select("station_id", "mode", F.concat_ws(" ", "prefix", "name").alias("name")).distinct()
     at = of_stations(st, objects).where("is_primary")
@@ -466,7 +467,7 @@ def search_names(st: DataFrame, objects: DataFrame, rels: DataFrame) -> DataFram
     areas = st.select("station_id", "mode", F.explode("objects").alias("o")).where("o.type = 'R'").select("station_id", "mode", F.col("o.id").alias("relation_id")).join(rels.select("relation_id", "tags"), "relation_id")
     tags = at.select("station_id", "mode", "tags").unionByName(areas.select("station_id", "mode", "tags"))
     codes = tags.select("station_id", "mode", F.explode("tags").alias("k", "v")).where(T.is_code_key(F.col("k")))
-    codes = codes.select("station_id", "mode", "k", F.trim(F.explode(F.split("v", ";"))).alias("name")).where(F.length("name") >= 2)
+    codes = codes.select("station_id", "mode", "k", F.explode(F.split("v", ";")).alias("part")).select("station_id", "mode", "k", F.trim("part").alias("name")).where(F.length("name") >= 2)
     codes = codes.where(~F.col("name").isin(*NO_CODES) & F.col("name").rlike("[0-9A-Za-z]") & ((F.col("k") != "esr:user") | F.col("name").rlike(r"^[0-9]{6}\z"))).select("station_id", "mode", "name").distinct()
     alone = F.col("settlement").isNull()
     cities = F.array_compact(F.array(tag("name", "city"), tag("name:en", "city"), tag("name", "settlement"), tag("name:en", "settlement"), F.when(alone, tag("name", "region")), F.when(alone, tag("name:en", "region"))))
