@@ -38,8 +38,8 @@ from .shingles import Words, shingle_set
 
 #: Counters of the frequency sketch (two rows), slices in which it is summed, shingles of a block, bits of the filter of texts needed,
 #: and the share (1 / EXTRA) of a set by which its prefix is longer than it must be.
-WIDTH, SLICES, BLOCK, BITS, EXTRA = 1 << 18, 16, 1 << 17, 1 << 23, 20
-RANGES = 256
+WIDTH, SLICES, BLOCK, BITS, EXTRA = 1 << 18, 16, 1 << 20, 1 << 23, 10
+RANGES, SIEVES = 256, 3
 THRESHOLD = Fraction(85, 100)
 
 
@@ -327,7 +327,10 @@ def link_components(docs: DataFrame, threshold: Fraction = THRESHOLD, k: int = 4
     """doc_id, row (a hash of the text), n_shingles and component_id of every document."""
     first = first_pass(docs, k)
     sketch = frequency(first)
-    tied = components(ties(enough(shared(postings(docs, sketch, threshold, k), threshold), threshold), threshold))
+    held = postings(docs, sketch, threshold, k)
+    for _ in range(SIEVES):  # a class that goes may leave others with too few
+        held = enough(shared(held, threshold), threshold)
+    tied = components(ties(held, threshold))
     found = places(first, tied)
     links = verified_links(sets_of(docs, wanted(found), k), found, sketch, threshold)
     joined = components(links).select(F.col("node").alias("cls"), "label")
