@@ -11,7 +11,7 @@ earliest, without pairs. The edit distance of each line and the earliest found f
 
 Variants are only emitted where they can meet: by the pigeonhole principle, of two near lines cut into parts (at the shorter one's
 length) all parts but one are equal. So first lines that share neither half with another distinct line are left out, then those that
-share no 15 of 16 parts; they have no near ones but equal ones.
+share no 15 of 16 parts, then no 47 of 48; they have no near ones but equal ones.
 Variants' keys are running XORs of hashes of (character, place), so a line of n characters costs n rows, not n squared.
 
 Null texts stay null. Repeated documents are told apart by the hash of their text, equal rows of one doc_id count once (all their
@@ -25,8 +25,8 @@ from pyspark.sql import functions as F
 
 from .common import written
 
-#: Parts of a line in the second sieve.
-PARTS = 16
+#: Parts of a line in the sieves after the first.
+PARTS = (16, 48)
 
 
 def normal(line: Column) -> Column:
@@ -77,12 +77,14 @@ def candidates(docs: DataFrame, table: DataFrame) -> DataFrame:
     each = held.select("doc_id", "row", "ats", F.posexplode(F.split("text", "\n")).alias("at", "line")).where(F.array_contains("ats", F.col("at")))
     text = each.select(place().alias("first"), normal(F.col("line")).alias("norm"))
     text = written(text.select(F.xxhash64("norm").alias("line"), "first", "norm").dropDuplicates(["line"]), "half-lines")
-    return text.join(sharing(text.select("line", part_keys(F.col("norm"), PARTS).alias("keys"))), "line", "left_semi")
+    for n in PARTS:
+        text = written(text.join(sharing(text.select("line", part_keys(F.col("norm"), n).alias("keys"))), "line", "left_semi"), "near-lines")
+    return text
 
 
 def near_lines(docs: DataFrame, table: DataFrame) -> DataFrame:
     """line and near: the earliest place of an earlier near line, for the distinct lines that have one."""
-    text = written(candidates(docs, table), "near-lines")
+    text = candidates(docs, table)
     chars = text.select("line", "first", F.length("norm").alias("n"), F.posexplode(F.split("norm", "")).alias("i", "c")).where("i < n")
     here, left = F.xxhash64("c", "i"), F.xxhash64("c", F.col("i") - 1)
     order = Window.partitionBy("line").orderBy("i")
