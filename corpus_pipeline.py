@@ -4,6 +4,7 @@ passages' documents, and mix the sources to their weights. Each stage reads all
 from __future__ import annotations
 
 from collections.abc import Callable
+from fractions import Fraction
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -24,8 +25,8 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component of near duplicates."""
-    return jaccard.one_of_each(docs)
+    """One document of each component of near duplicates: four fifths of the runs of five words in common."""
+    return jaccard.one_of_each(docs, threshold=Fraction(4, 5), k=5)
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -48,3 +48,34 @@ def test_stages_keep_columns_and_clean_documents(spark, tmp_path):
     assert alone.columns == docs.columns and {r["doc_id"] for r in alone.collect()} == {1, 3, 4}
     assert C.benchmark_decontamination(spark, docs, str(tmp_path)).count() == 4
     assert C.quality_classifier(spark, docs, str(tmp_path)).columns == docs.columns
+
+
+def test_near_duplicate_stage_against_brute_force(spark):
+    """The stage links from four fifths of five words, also where four words and 0.85 wouldn't."""
+    import random
+
+    import corpus_pipeline as C
+
+    rng, docs = random.Random(4), {}
+    for g in range(40):
+        base = [f"v{rng.randrange(900)}" for _ in range(rng.choice([3, 60, 100, 150]))]
+        for j in range(3):
+            w = list(base)
+            for _ in range(j and rng.choice([0, 1, 2, 3])):
+                w[rng.randrange(len(w))] = f"new{rng.randrange(900)}"
+            docs[3 * g + j] = " ".join(w)
+
+    def alike(k):
+        split = {d: t.split(" ") for d, t in docs.items()}
+        sets = {d: {tuple(w[i : i + k]) for i in range(max(1, len(w) - k + 1))} for d, w in split.items()}
+        return {(a, b): (len(sets[a] & sets[b]), len(sets[a] | sets[b])) for a in docs for b in docs if a < b}
+
+    five, four = alike(5), alike(4)
+    links = {p for p, (x, y) in five.items() if 5 * x >= 4 * y}
+    assert any(100 * four[p][0] < 85 * four[p][1] for p in links)
+    root = dict(zip(docs, docs, strict=True))
+    for a, b in sorted(links) * len(docs):
+        root[a] = root[b] = min(root[a], root[b])
+    df = spark.createDataFrame(list(docs.items()), "doc_id long, text string")
+    got = sorted(r["doc_id"] for r in C.ngram_jaccard_join(spark, df, "").collect())
+    assert got == sorted(d for d in docs if root[d] == d)
