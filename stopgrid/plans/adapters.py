@@ -34,8 +34,9 @@ SELECT 'N' AS osm_type, c_custkey AS osm_id,
 FROM {{customer}}"""
 STOP_TAGS = ("railway", "highway", "amenity", "public_transport", "aerialway", "station", "train", "tram", "bus", "name", "ref", "wikidata", "uic_ref")
 
-#: Every 13th order as a relation; its items are the members, by (line number, part, supplier, quantity, price).
-RELS = """
+#: Orders as relations; their items are the members, by (line number, part, supplier, quantity, price). RELS and MEMBERS, which only the
+#: SQL reads, are those of every 13th order; the steps read all.
+ALL_RELS = """
 SELECT o_orderkey AS relation_id,
   CASE WHEN o_orderkey % 5 = 0 THEN 'stop_area' END AS public_transport,
   CASE o_orderkey % 5 WHEN 1 THEN 'train' WHEN 2 THEN 'subway' WHEN 3 THEN 'tram' WHEN 4 THEN 'light_rail' END AS route,
@@ -43,13 +44,15 @@ SELECT o_orderkey AS relation_id,
   CASE WHEN o_orderkey % 11 = 0 THEN 'night' END AS service,
   CASE WHEN o_orderkey % 2 = 0 THEN '#' || (o_orderkey % 100) END AS colour,
   CASE WHEN o_orderkey % 4 <> 0 THEN o_orderpriority END AS name
-FROM {orders} WHERE o_orderkey % 13 = 0"""
+FROM {orders}"""
+RELS = f"{ALL_RELS} WHERE o_orderkey % 13 = 0"
 REL_TAGS = ("public_transport", "route", "ref", "service", "colour", "name")
-MEMBERS = """
+ALL_MEMBERS = """
 SELECT l_orderkey AS relation_id, 'N' AS osm_type, l_partkey AS osm_id,
   CASE WHEN l_orderkey % 2 = 0 AND l_returnflag = 'A' THEN 'stop_exit' WHEN l_returnflag = 'R' THEN 'platform' ELSE '' END AS role,
   CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice) AS INTEGER) AS seq
-FROM {lineitem} WHERE l_orderkey % 13 = 0"""
+FROM {lineitem}"""
+MEMBERS = f"{ALL_MEMBERS} WHERE l_orderkey % 13 = 0"
 
 #: Suppliers as settlements.
 PLACES = f"""
@@ -88,8 +91,8 @@ def stops(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def rels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    m = run_sql(spark, sf_dir, MEMBERS).groupBy("relation_id").agg(F.array_sort(F.collect_list(F.struct("seq", F.struct(F.col("osm_type").alias("type"), F.col("osm_id").alias("ref"), "role").alias("m")))).alias("m"))
-    rows = run_sql(spark, sf_dir, RELS).join(m, "relation_id")
+    m = run_sql(spark, sf_dir, ALL_MEMBERS).groupBy("relation_id").agg(F.array_sort(F.collect_list(F.struct("seq", F.struct(F.col("osm_type").alias("type"), F.col("osm_id").alias("ref"), "role").alias("m")))).alias("m"))
+    rows = run_sql(spark, sf_dir, ALL_RELS).join(m, "relation_id")
     return rows.select("relation_id", _tags(REL_TAGS).alias("tags"), F.transform("m", lambda x: x["m"]).alias("members"))
 
 
