@@ -211,10 +211,10 @@ def join_point_in_polygon(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @R.frame("join_polygon_distance", f"SELECT s.c_custkey, r.n_nationkey FROM ({D_STOPS}) s JOIN ({D_RECT}) r ON r.n_nationkey = 12 AND sqrt(pow(greatest(r.x0 - s.lon, 0, s.lon - r.x0 - 0.05), 2) + pow(greatest(r.y0 - s.lat, 0, s.lat - r.y0 - 0.04), 2)) <= 500 / (111320 * cos(radians(s.lat)))")
 def join_polygon_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Polygons at most 500 m away, in degrees scaled by the point's latitude: cells around the polygons' boxes first."""
+    """All polygons (the SQL: one) at most 500 m away, in degrees scaled by the point's latitude: cells around the polygons' boxes first."""
     from .operators.spatial import near_polygons
 
-    return near_polygons(stops(spark, sf_dir), rectangles(spark, sf_dir).where("n_nationkey = 12"), 500).select("c_custkey", "n_nationkey")
+    return near_polygons(stops(spark, sf_dir), rectangles(spark, sf_dir), 500).select("c_custkey", "n_nationkey")
 
 
 @R.frame("join_knn", f"SELECT s_suppkey, c_custkey, CAST(rk AS INTEGER) AS rk FROM (SELECT p.s_suppkey, s.c_custkey, row_number() OVER (PARTITION BY p.s_suppkey ORDER BY sqrt(pow(p.lon - s.lon, 2) + pow(p.lat - s.lat, 2)), s.c_custkey) AS rk FROM ({D_PLACES}) p JOIN ({D_STOPS}) s ON abs(p.lon - s.lon) <= 0.02 AND abs(p.lat - s.lat) <= 0.02) WHERE rk <= 3")

@@ -40,3 +40,36 @@ def test_all_orders_are_relations(spark, tmp_path):
                     root[a] = root[b] = min(root[a], root[b])
     assert {r["relation_id"]: r["group_id"] for r in T.QUERIES["st_area_group"](spark, str(tmp_path)).collect()} == root
     assert set(root.values()) != set(root)
+
+
+def test_sorts_give_all_rows(spark, tmp_path):
+    rng = random.Random(7)
+    rows = [(k, rng.choice(["F", "O", "P", None]), rng.choice(["1-URGENT", "5-LOW", None]), rng.choice([None, 1.5, 2.5, 9.0])) for k in range(150)]
+    rng.shuffle(rows)
+    spark.createDataFrame(rows, "o_orderkey long, o_orderstatus string, o_orderpriority string, o_totalprice double").write.parquet(f"{tmp_path}/orders.parquet")
+    first = {"F": 0, "O": 1, "P": 1, None: 2}
+    want = sorted(rows, key=lambda r: (first[r[1]], r[2] != "1-URGENT", r[3] is None, -(r[3] or 0), r[0]))
+    assert [r[0] for r in Q.QUERIES["sort_multi_key"](spark, str(tmp_path)).collect()] == [r[0] for r in want]
+    nulls = sorted(rows, key=lambda r: ({"P": 0, None: 0, "O": 1, "F": 2}[r[1]], r[0]))
+    got = Q.QUERIES["sort_nulls_explicit"](spark, str(tmp_path)).collect()
+    assert [tuple(r) for r in got] == [(r[0], None if r[1] == "P" else r[1]) for r in nulls]
+
+
+def test_distances_to_all_polygons(spark, tmp_path):
+    import math
+
+    from stopgrid import queries_functions as G
+
+    for t, columns in (("customer", "c_custkey long, c_nationkey int, c_mktsegment string"), ("nation", "n_nationkey int, n_name string, n_regionkey int")):
+        rows = [(c, 1, "BUILDING") for c in range(1, 80)] if t == "customer" else [(n, f"N{n}", n % 5) for n in range(25)]
+        spark.createDataFrame(rows, columns).write.parquet(f"{tmp_path}/{t}.parquet")
+    boxes = {r["n_nationkey"]: [(p["lon"], p["lat"]) for p in r["rings"][0]] for r in G.rectangles(spark, str(tmp_path)).collect()}
+    want = set()
+    for s in G.stops(spark, str(tmp_path)).collect():
+        for n, ring in boxes.items():
+            (x0, y0), (x1, y1) = map(min, zip(*ring, strict=True)), map(max, zip(*ring, strict=True))
+            off = math.hypot(max(x0 - s["lon"], 0, s["lon"] - x1), max(y0 - s["lat"], 0, s["lat"] - y1))
+            if off <= 500 / (111320 * math.cos(math.radians(s["lat"]))):
+                want.add((s["c_custkey"], n))
+    got = [tuple(r) for r in G.QUERIES["join_polygon_distance"](spark, str(tmp_path)).collect()]
+    assert len({n for _, n in want}) > 5 and len(got) == len(set(got)) and set(got) == want
