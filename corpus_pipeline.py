@@ -19,8 +19,8 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines that an earlier one is equal or near to are cut; documents with nothing left go."""
-    out = linededup.dedup_lines(docs)
+    """Lines that an earlier one is equal or (longer ones) near to are cut; documents with nothing left go."""
+    out = linededup.dedup_lines(docs, linededup.SHORT)
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
 
 

@@ -2,7 +2,8 @@ r"""Line dedup by a deletion-neighbourhood join, in DataFrame functions only.
 
 Two lines are near when their normal forms (lower case, digits as 0, white space squeezed and trimmed) differ by at most one insertion,
 deletion or substitution of a character. Each line but the earliest of those it is near is removed: a line goes if an earlier one, by
-(doc_id, row, line number), is near it. A line with an empty normal form is never removed.
+(doc_id, row, line number), is near it. A line with an empty normal form is never removed. Lines of at most ``short`` characters (none by
+default; SHORT in the query and the pipeline, as one edit makes another word of a short one) are only near lines of an equal normal form.
 
 All variants of a line with one character deleted are emitted as hashed keys, of two kinds: with the place of the deletion (equal keys:
 a substitution there) and without it (equal to another line's own hash: an insertion or deletion). All lines with an equal key of the
@@ -27,6 +28,8 @@ from .common import written
 
 #: Parts of a line in the sieves after the first.
 PARTS = (16, 48)
+#: Characters up to which a line goes only for an equal one.
+SHORT = 12
 
 
 def normal(line: Column) -> Column:
@@ -62,9 +65,9 @@ def sharing(keyed: DataFrame) -> DataFrame:
     return each.join(shared, "key", "left_semi").select("line").distinct()
 
 
-def line_table(docs: DataFrame) -> DataFrame:
-    """doc_id, row, at, line (a hash) and half keys of every line, written once: the texts are read and folded in one pass."""
-    return written(lines_of(docs).select("doc_id", "row", "at", F.xxhash64("norm").alias("line"), part_keys(F.col("norm"), 2).alias("keys")), "lines")
+def line_table(docs: DataFrame, short: int = 0) -> DataFrame:
+    """doc_id, row, at, line (a hash) and half keys (null for short lines) of every line, written once: the texts are read and folded in one pass."""
+    return written(lines_of(docs).select("doc_id", "row", "at", F.xxhash64("norm").alias("line"), F.when(F.length("norm") > short, part_keys(F.col("norm"), 2)).alias("keys")), "lines")
 
 
 def candidates(docs: DataFrame, table: DataFrame) -> DataFrame:
@@ -110,9 +113,9 @@ def near_lines(docs: DataFrame, table: DataFrame) -> DataFrame:
     return written(verified.select("line", "near"), "near")
 
 
-def removed_lines(docs: DataFrame) -> DataFrame:
+def removed_lines(docs: DataFrame, short: int = 0) -> DataFrame:
     """doc_id, row and the numbers of the lines that go, for documents with such lines."""
-    table = line_table(docs)
+    table = line_table(docs, short)
     near = near_lines(docs, table)
     lines = table.drop("keys")
     first = lines.groupBy("line").agg(F.min(place()).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
@@ -122,9 +125,9 @@ def removed_lines(docs: DataFrame) -> DataFrame:
     return gone.groupBy("doc_id", "row").agg(F.sort_array(F.collect_set("at")).alias("gone"))
 
 
-def marked(docs: DataFrame) -> DataFrame:
+def marked(docs: DataFrame, short: int = 0) -> DataFrame:
     """docs with ``_gone``: the numbers of the lines that go (null: none)."""
-    gone = removed_lines(docs).select(F.col("doc_id").alias("_d"), F.col("row").alias("_r"), F.col("gone").alias("_gone"))
+    gone = removed_lines(docs, short).select(F.col("doc_id").alias("_d"), F.col("row").alias("_r"), F.col("gone").alias("_gone"))
     return docs.join(gone, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.xxhash64("text") == F.col("_r")), "left").drop("_d", "_r")
 
 
@@ -137,8 +140,8 @@ def kept_text() -> Column:
     return F.when(F.col("_gone").isNull(), F.col("text")).otherwise(F.array_join(F.transform(kept, lambda x: x["line"]), "\n"))
 
 
-def dedup_lines(docs: DataFrame) -> DataFrame:
+def dedup_lines(docs: DataFrame, short: int = 0) -> DataFrame:
     """The documents without the lines that go; a document that had such lines and has no other left goes too."""
-    out = marked(docs).withColumn("text", kept_text())
+    out = marked(docs, short).withColumn("text", kept_text())
     empty = F.col("_gone").isNotNull() & (F.regexp_replace("text", r"[\x09-\x0D\x20 ]+", "") == "")
     return out.where(~empty).select(*docs.columns)

@@ -51,7 +51,7 @@ def op7_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = linededup.marked(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    out = linededup.marked(table(spark, sf_dir, "documents").select("doc_id", "text"), linededup.SHORT)
     removed = F.coalesce(F.size("_gone"), F.lit(0))
     n_lines = F.when(F.col("text").isNull(), 0).otherwise(F.size(F.split("text", "\n")))
     kept = linededup.kept_text()

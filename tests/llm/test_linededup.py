@@ -81,3 +81,34 @@ def test_long_line(spark):
     long = "ab" * 20000
     df = spark.createDataFrame([(1, long), (2, long[:9999] + "x" + long[10000:]), (3, long + "yz")], "doc_id long, text string")
     assert [r[0] for r in L.dedup_lines(df).orderBy("doc_id").collect()] == [1, 3]
+
+
+def test_query_and_stage_keep_short_lines_of_other_words(spark, tmp_path):
+    import hashlib
+
+    import corpus_pipeline as C
+    from stopgrid.llm.queries import op8_line_dedup
+
+    rng = random.Random(8)
+    base = ["for.", "it.", "a line of 12", "a line of 013", "page 10 of 100", "some longer line"]
+    docs = {0: "for.\nF\u00fcr.\nMit.\nit.\nFOR.\nit."}
+    for d in range(1, 40):
+        lines = [list(rng.choice(base)) for _ in range(rng.randint(1, 5))]
+        for s in lines:
+            s[rng.randrange(len(s))] = rng.choice("abz")
+        docs[d] = "\n".join(map("".join, lines))
+    seen, kept = [], {}
+    for d, text in docs.items():
+        kept[d] = []
+        for line in text.split("\n"):
+            n = fold(line)
+            if not any(n == x or (min(len(n), len(x)) > 12 and near(n, x)) for x in seen):
+                kept[d].append(line)
+            seen.append(n)
+    assert kept[0] == ["for.", "F\u00fcr.", "Mit.", "it."]
+    rows = [(d, t, "en", "s", len(t)) for d, t in docs.items()]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    df.write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["doc_id"]: r["kept_sha256"] for r in op8_line_dedup(spark, str(tmp_path)).collect()}
+    assert got == {d: hashlib.sha256("\n".join(k).encode()).hexdigest() for d, k in kept.items()}
+    assert {r["doc_id"]: r["text"] for r in C.line_dedup(spark, df, "").collect()} == {d: "\n".join(k) for d, k in kept.items() if k}
