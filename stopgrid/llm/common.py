@@ -50,6 +50,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spare(taken: list[str], *names: str) -> list[str]:
+    """Names like these that none of the columns has."""
+    held = {c.lower() for c in taken}
+    out = []
+    for name in names:
+        while name.lower() in held:
+            name += "_"
+        held.add(name.lower())
+        out.append(name)
+    return out
+
+
 def text_of(df: DataFrame) -> DataFrame:
     """doc_id and the whole text, null as empty; nothing else is read."""
     return df.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))

@@ -1,22 +1,23 @@
 r"""Line dedup by a deletion-neighbourhood join, in DataFrame functions only.
 
-Two lines are near when their normal forms (lower case, digits as 0, white space squeezed and trimmed) differ by at most one insertion,
-deletion or substitution of a character. Each line but the earliest of those it is near is removed: a line goes if an earlier one, by
-(doc_id, row, line number), is near it. A line with an empty normal form is never removed. Lines of at most ``short`` characters (none by
-default; SHORT in the query and the pipeline, as one edit makes another word of a short one) are only near lines of an equal normal form.
-
-All variants of a line with one character deleted are emitted as hashed keys, of two kinds: with the place of the deletion (equal keys:
-a substitution there) and without it (equal to another line's own hash: an insertion or deletion). All lines with an equal key of the
-first kind are near each other, and all with a variant equal to a whole line are near that line; so one minimum for each key finds the
-earliest, without pairs. The edit distance of each line and the earliest found for it is then verified.
-
-Variants are only emitted where they can meet: by the pigeonhole principle, of two near lines cut into parts (at the shorter one's
-length) all parts but one are equal. So first lines that share neither half with another distinct line are left out, then those that
-share no 15 of 16 parts, then no 47 of 48; they have no near ones but equal ones.
-Variants' keys are running XORs of hashes of (character, place), so a line of n characters costs n rows, not n squared.
-
-Null texts stay null. Repeated documents are told apart by the hash of their text, equal rows of one doc_id count once (all their
-lines are judged alike). Other columns are carried through untouched.
+Lines are compared in normal form: lower case, white space squeezed and trimmed, numbers as written. The edit bound grows with length:
+lines of at most ``short`` characters have bound 0 (an edit makes another word of them), longer ones of fewer than ``words`` words
+are near if at most one character is inserted, deleted or substituted, and lines of at least ``words`` words if at most one word is, however
+many characters that changes. Lines on two sides of these limits aren't near. Each line but the earliest of those it is near is removed:
+a line goes if an earlier one, by (doc_id, row, line number), is equal or near. A line with an empty normal form is never removed.
+
+All variants of a line with one unit (character or word) deleted are emitted as hashed keys, of two kinds: with the place of the
+deletion (equal keys: a substitution there) and without it (equal to another line's own hash: an insertion or deletion). All lines with
+an equal key of the first kind are near each other, and all with a variant equal to a whole line are near that line; so one minimum for
+each key finds the earliest, without pairs. The edit distance of each line and the earliest found for it is then verified.
+
+Variants are only emitted where they can meet: of two near lines cut in half (at the shorter one's length), one half is equal; so lines
+that share neither half with another distinct line are left out. Variants' keys are running XORs of hashes of (unit, place), so a line
+of n units costs n rows, not n squared. Lines are named by 128-bit hashes of their normal forms.
+
+Null texts stay null, empty ones empty; an empty table gives an empty one. Very long texts and lines are rows like others. Documents of
+one doc_id are told apart by the hash of their text; equal rows of one doc_id count once (all their lines are judged alike). Rows without doc_id
+come first. Other columns, whatever their names, are carried through untouched.
 """
 
 from __future__ import annotations
@@ -24,22 +25,25 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import spare, written
 
-#: Parts of a line in the sieves after the first.
-PARTS = (16, 48)
-#: Characters up to which a line goes only for an equal one.
-SHORT = 12
+#: Characters up to which a line goes only for an equal one, and words from which a line's unit is the word, in the query and the pipeline.
+SHORT, WORDS = 12, 10
+BLANK = r"[\x09\x0B-\x0D\x20]+"
 
 
-def normal(line: Column) -> Column:
-    return F.trim(F.regexp_replace(F.regexp_replace(F.lower(line), r"[0-9]", "0"), r"[\x09-\x0D\x20 ]+", " "))
+def squeezed(line: Column) -> Column:
+    """The normal form of a line in lower case; the expression only runs where there is something to squeeze."""
+    odd = F.contains(line, F.lit("  "))
+    for c in "\t\x0b\x0c\r":
+        odd = odd | F.contains(line, F.lit(c))
+    return F.trim(F.when(odd, F.regexp_replace(line, BLANK, " ")).otherwise(line))
 
 
 def lines_of(docs: DataFrame) -> DataFrame:
     """doc_id, row (a hash of the text), at (the line's number), norm: for every line with a normal form."""
-    each = docs.where("text is not null").select("doc_id", F.xxhash64("text").alias("row"), F.posexplode(F.split("text", "\n")).alias("at", "line"))
-    return each.select("doc_id", "row", "at", normal(F.col("line")).alias("norm")).where("norm <> ''")
+    each = docs.where("text is not null").select("doc_id", F.xxhash64("text").alias("row"), F.posexplode(F.split(F.lower("text"), "\n")).alias("at", "line"))
+    return each.select("doc_id", "row", "at", squeezed(F.col("line")).alias("norm")).where("norm <> ''")
 
 
 def place() -> Column:
@@ -47,101 +51,138 @@ def place() -> Column:
     return F.struct("doc_id", "row", "at")
 
 
-def part_keys(norm: Column, parts: int) -> Column:
-    """Hashes of a line without one of its parts, for each part, at the two lengths at which a near line may be cut."""
-    n = F.length(norm)
+def name_of(norm: Column) -> Column:
+    return F.unhex(F.md5(norm))
 
-    def at(m: Column) -> list[Column]:
-        cut = [F.floor(m * q / parts).cast("int") for q in range(parts + 1)]
-        return [F.xxhash64(F.lit(q), m, F.left(norm, cut[q]), F.right(norm, m - cut[q + 1])) for q in range(parts)]
 
-    return F.array(*at(n), *at(F.greatest(n - 1, F.lit(0))))
+def n_words(norm: Column) -> Column:
+    return F.length(norm) - F.length(F.replace(norm, F.lit(" "))) + 1
 
 
-def sharing(keyed: DataFrame) -> DataFrame:
-    """keyed: line, keys. The lines that have a key in common with another line."""
-    each = keyed.select("line", F.explode("keys").alias("key"))
-    shared = each.groupBy("key").agg(F.min("line").alias("a"), F.max("line").alias("b")).where("a <> b").select("key")
-    return each.join(shared, "key", "left_semi").select("line").distinct()
+def units(norm: Column, words: int) -> Column:
+    return F.when(n_words(norm) >= words, F.split(norm, " ")).otherwise(F.regexp_extract_all(norm, F.lit("(?s)(.)"), F.lit(1)))
+
+
+def half_keys(norm: Column, words: int) -> list[Column]:
+    """Hashes of a line's halves, at the two lengths at which a near line may be cut."""
+    by, n = n_words(norm) >= words, F.when(n_words(norm) >= words, n_words(norm)).otherwise(F.length(norm))
+
+    def head(k: Column) -> Column:
+        return F.when(by, F.call_function("substring_index", norm, F.lit(" "), k)).otherwise(F.left(norm, k))
+
+    def tail(k: Column) -> Column:
+        return F.when(by, F.call_function("substring_index", norm, F.lit(" "), -k)).otherwise(F.right(norm, k))
+
+    out = []
+    for m in (n, n - 1):
+        half = F.floor(m / 2).cast("int")
+        out += [F.xxhash64(F.lit(0), by, m, head(half)), F.xxhash64(F.lit(1), by, m, tail(m - half))]
+    return out
+
+
+HALVES = ["h0", "h1", "h2", "h3"]
+
 
+def line_table(docs: DataFrame, short: int, words: int) -> DataFrame:
+    """doc_id, row, at, line (its name) and the halves' keys (null for short lines) of every line, written once: the texts are read and folded in one pass."""
+    keys = [F.when(F.length("norm") > short, k).alias(h) for h, k in zip(HALVES, half_keys(F.col("norm"), words), strict=True)]
+    return written(lines_of(docs).select("doc_id", "row", "at", name_of(F.col("norm")).alias("line"), *keys), "lines")
 
-def line_table(docs: DataFrame, short: int = 0) -> DataFrame:
-    """doc_id, row, at, line (a hash) and half keys (null for short lines) of every line, written once: the texts are read and folded in one pass."""
-    return written(lines_of(docs).select("doc_id", "row", "at", F.xxhash64("norm").alias("line"), F.when(F.length("norm") > short, part_keys(F.col("norm"), 2)).alias("keys")), "lines")
 
+def first_places(table: DataFrame) -> DataFrame:
+    """line, first (its earliest place), n (how many places) and the halves' keys of the distinct lines."""
+    return written(table.groupBy("line").agg(F.min(place()).alias("first"), F.count(F.lit(1)).alias("n"), *(F.min(h).alias(h) for h in HALVES)), "first-places")
 
-def candidates(docs: DataFrame, table: DataFrame) -> DataFrame:
+
+def sharing(firsts: DataFrame) -> DataFrame:
+    """The distinct lines that have a half in common with another one."""
+    each = firsts.where("h0 is not null").select("line", F.explode(F.array(*HALVES)).alias("key"))
+    shared = each.select("key", F.xxhash64("line").alias("x")).groupBy("key").agg(F.min("x").alias("a"), F.max("x").alias("b")).where("a <> b").select("key")
+    return each.join(shared, "key", "left_semi").select("line").distinct()
+
+
+def candidates(docs: DataFrame, firsts: DataFrame) -> DataFrame:
     """line, first and norm of the distinct lines that may have near ones."""
-    chosen = table.drop("keys").join(sharing(table.select("line", "keys")), "line", "left_semi").groupBy("line").agg(F.min(place()).alias("first"))
+    chosen = firsts.select("line", "first").join(sharing(firsts), "line", "left_semi")
     # the text of a candidate comes from its earliest place; only documents with such places are dealt
     wanted = chosen.groupBy("first.doc_id", "first.row").agg(F.collect_set("first.at").alias("ats")).select(F.col("doc_id").alias("d"), F.col("row").alias("w"), "ats")
-    wanted = written(wanted, "wanted")
-    held = docs.where("text is not null").select("doc_id", F.xxhash64("text").alias("row"), "text").join(wanted, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("row") == F.col("w")))
-    each = held.select("doc_id", "row", "ats", F.posexplode(F.split("text", "\n")).alias("at", "line")).where(F.array_contains("ats", F.col("at")))
-    text = each.select(place().alias("first"), normal(F.col("line")).alias("norm"))
-    text = written(text.select(F.xxhash64("norm").alias("line"), "first", "norm").dropDuplicates(["line"]), "half-lines")
-    for n in PARTS:
-        text = written(text.join(sharing(text.select("line", part_keys(F.col("norm"), n).alias("keys"))), "line", "left_semi"), "near-lines")
-    return text
-
-
-def near_lines(docs: DataFrame, table: DataFrame) -> DataFrame:
+    held = docs.where("text is not null").select("doc_id", F.xxhash64("text").alias("row"), "text").join(written(wanted, "wanted"), F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("row") == F.col("w")))
+    each = held.select("doc_id", "row", "ats", F.posexplode(F.split(F.lower("text"), "\n")).alias("at", "line")).where(F.array_contains("ats", F.col("at")))
+    text = each.select(place().alias("first"), squeezed(F.col("line")).alias("norm"))
+    return written(text.select(name_of(F.col("norm")).alias("line"), "first", "norm").dropDuplicates(["line"]), "candidates")
+
+
+def variant_keys(text: DataFrame, words: int) -> DataFrame:
+    """line, first, kind, key. Kind 0: one unit deleted, with its place; 1: one unit deleted; 2: the whole line."""
+    xor = lambda shift: F.aggregate(F.transform("units", lambda u, i: F.xxhash64(u, i - shift)), F.lit(0).cast("long"), lambda a, x: a.bitwiseXOR(x))
+    lines = text.select("line", "first", (n_words(F.col("norm")) >= words).alias("by"), units(F.col("norm"), words).alias("units"))
+    lines = lines.select("line", "first", "by", F.size("units").alias("n"), xor(0).alias("whole"), xor(1).alias("left"), "units")
+    order = Window.partitionBy("line").orderBy("i").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    each = lines.select("line", "first", "by", "n", "left", F.posexplode("units").alias("i", "u"))
+    here, moved = F.xxhash64("u", "i"), F.xxhash64("u", F.col("i") - 1)
+    head, tail = F.bit_xor(here).over(order).bitwiseXOR(here), F.col("left").bitwiseXOR(F.bit_xor(moved).over(order))
+    cut = each.select("line", "first", "i", F.xxhash64(F.col("n") - 1, "by", head.bitwiseXOR(tail)).alias("rest"))
+    kinds = F.array(F.struct(F.lit(0).alias("kind"), F.xxhash64("rest", "i").alias("key")), F.struct(F.lit(1).alias("kind"), F.col("rest").alias("key")))
+    deleted = cut.select("line", "first", F.inline(kinds))
+    entire = lines.select("line", "first", F.lit(2).alias("kind"), F.xxhash64("n", "by", "whole").alias("key"))
+    return written(deleted.unionByName(entire).withColumn("place", (F.col("kind") == 0)), "variants")
+
+
+def within_one(a: Column, b: Column) -> Column:
+    """Whether the edit distance of two arrays is at most one."""
+    short, long = F.when(F.size(a) <= F.size(b), a).otherwise(b), F.when(F.size(a) <= F.size(b), b).otherwise(a)
+    at = F.array_position(F.zip_with(short, long, lambda x, y: x.eqNullSafe(y)), False).cast("int")  # 1 for the first unit; 0: none differs
+    rest = lambda x, k: F.slice(x, k, F.size(x))
+    inserted, other = rest(short, at) == rest(long, at + 1), rest(short, at + 1) == rest(long, at + 1)
+    return (at == 0) | ((at > 0) & F.when(F.size(short) == F.size(long), other).otherwise((F.size(short) + 1 == F.size(long)) & inserted))
+
+
+def near_lines(docs: DataFrame, firsts: DataFrame, words: int) -> DataFrame:
     """line and near: the earliest place of an earlier near line, for the distinct lines that have one."""
-    text = candidates(docs, table)
-    chars = text.select("line", "first", F.length("norm").alias("n"), F.posexplode(F.split("norm", "")).alias("i", "c")).where("i < n")
-    here, left = F.xxhash64("c", "i"), F.xxhash64("c", F.col("i") - 1)
-    order = Window.partitionBy("line").orderBy("i")
-    head = F.bit_xor(here).over(order).bitwiseXOR(here)
-    tail = F.bit_xor(left).over(order).bitwiseXOR(F.bit_xor(left).over(Window.partitionBy("line")))
-    variants = chars.select("line", "first", "n", "i", head.alias("head"), tail.alias("tail"))
-    cut = variants.select("line", "first", F.xxhash64(F.col("n") - 1, F.col("head").bitwiseXOR(F.col("tail"))).alias("rest"), "i")
-    whole = chars.groupBy("line", "first", "n").agg(F.bit_xor(here).alias("x")).select("line", "first", F.xxhash64("n", "x").alias("rest"))
-
-    same_place = cut.select("line", "first", F.xxhash64("rest", "i").alias("key"), F.lit(0).alias("kind"))
-    deleted = cut.select("line", "first", F.col("rest").alias("key"), F.lit(1).alias("kind"))
-    entire = whole.select("line", "first", F.col("rest").alias("key"), F.lit(2).alias("kind"))
-    keys = same_place.unionByName(deleted).unionByName(entire)
-    # kind 0 meets kind 0; kind 1 meets kind 2
+    text = candidates(docs, firsts)
+    keys = variant_keys(text, words)
     earliest = lambda k: F.min(F.when(F.col("kind") == k, F.struct("first", "line")))
-    table = keys.withColumn("family", (F.col("kind") > 0).cast("int")).groupBy("family", "key").agg(earliest(0).alias("e0"), earliest(1).alias("e1"), earliest(2).alias("e2"), F.count(F.lit(1)).alias("n")).where("n > 1 and (family = 0 or (e1 is not null and e2 is not null))").drop("n")
-    met = keys.withColumn("family", (F.col("kind") > 0).cast("int")).join(table, ["family", "key"])
+    # kind 0 meets kind 0; kind 1 meets kind 2
+    table = keys.groupBy("place", "key").agg(earliest(0).alias("e0"), earliest(1).alias("e1"), earliest(2).alias("e2"), F.count(F.lit(1)).alias("n")).where("n > 1 and (place or (e1 is not null and e2 is not null))").drop("n")
+    met = keys.join(table, ["place", "key"])
     other = F.when(F.col("kind") == 0, F.col("e0")).when(F.col("kind") == 1, F.col("e2")).otherwise(F.col("e1"))
-    pairs = met.select("line", "first", other.alias("other")).where(F.col("other.first") < F.col("first")).groupBy("line", "first").agg(F.min("other").alias("other"))
+    pairs = met.select("line", "first", other.alias("other")).where(F.col("other.first") < F.col("first")).groupBy("line").agg(F.min("other").alias("other"))
     sides = pairs.select("line", F.col("other.line").alias("partner"), F.col("other.first").alias("near"))
     norms = text.select("line", "norm")
-    verified = sides.join(norms, "line").join(norms.select(F.col("line").alias("partner"), F.col("norm").alias("norm2")), "partner").where(F.levenshtein("norm", "norm2", 1) >= 0)
-    return written(verified.select("line", "near"), "near")
+    both = sides.join(norms, "line").join(norms.select(F.col("line").alias("partner"), F.col("norm").alias("norm2")), "partner")
+    return written(both.where(within_one(units(F.col("norm"), words), units(F.col("norm2"), words))).select("line", "near"), "near")
 
 
-def removed_lines(docs: DataFrame, short: int = 0) -> DataFrame:
+def removed_lines(docs: DataFrame, short: int = 0, words: int = WORDS) -> DataFrame:
     """doc_id, row and the numbers of the lines that go, for documents with such lines."""
-    table = line_table(docs, short)
-    near = near_lines(docs, table)
-    lines = table.drop("keys")
-    first = lines.groupBy("line").agg(F.min(place()).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    table = line_table(docs, short, words)
+    firsts = first_places(table)
+    near = near_lines(docs, firsts, words)
     # a line's first place stays unless the line is near an earlier one; its other places go
-    marks = first.join(near, "line", "full").select("line", "first", F.col("near").isNotNull().alias("near"))
-    gone = lines.join(marks, "line").where(F.col("near") | (F.col("first").isNotNull() & ~place().eqNullSafe(F.col("first"))))
+    marks = firsts.where("n > 1").select("line", "first").join(near, "line", "full").select("line", "first", F.col("near").isNotNull().alias("near"))
+    gone = table.drop(*HALVES).join(marks, "line").where(F.col("near") | (F.col("first").isNotNull() & ~place().eqNullSafe(F.col("first"))))
     return gone.groupBy("doc_id", "row").agg(F.sort_array(F.collect_set("at")).alias("gone"))
 
 
-def marked(docs: DataFrame, short: int = 0) -> DataFrame:
-    """docs with ``_gone``: the numbers of the lines that go (null: none)."""
-    gone = removed_lines(docs, short).select(F.col("doc_id").alias("_d"), F.col("row").alias("_r"), F.col("gone").alias("_gone"))
-    return docs.join(gone, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.xxhash64("text") == F.col("_r")), "left").drop("_d", "_r")
+def marked(docs: DataFrame, short: int = 0, words: int = WORDS, gone: str = "_gone") -> DataFrame:
+    """docs with a column ``gone``: the numbers of the lines that go (null: none)."""
+    d, r = spare(docs.columns, "_d", "_r")
+    found = removed_lines(docs.select("doc_id", "text"), short, words).select(F.col("doc_id").alias(d), F.col("row").alias(r), F.col("gone").alias(gone))
+    return docs.join(found, F.col("doc_id").eqNullSafe(F.col(d)) & (F.xxhash64("text") == F.col(r)), "left").drop(d, r)
 
 
-def kept_text() -> Column:
+def kept_text(gone: str = "_gone") -> Column:
     lines = F.split("text", "\n")
-    stay = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("_gone"))
+    stay = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col(gone))
     flag = lambda a, keep: F.transform(a, lambda i: F.struct(i.alias("i"), F.lit(keep).alias("keep")))
-    flags = F.array_sort(F.concat(flag(stay, True), flag(F.col("_gone"), False)))  # one for each line, in order
+    flags = F.array_sort(F.concat(flag(stay, True), flag(F.col(gone), False)))  # one for each line, in order
     kept = F.filter(F.arrays_zip(lines.alias("line"), flags.alias("flag")), lambda x: x["flag"]["keep"])
-    return F.when(F.col("_gone").isNull(), F.col("text")).otherwise(F.array_join(F.transform(kept, lambda x: x["line"]), "\n"))
+    return F.when(F.col(gone).isNull(), F.col("text")).otherwise(F.array_join(F.transform(kept, lambda x: x["line"]), "\n"))
 
 
-def dedup_lines(docs: DataFrame, short: int = 0) -> DataFrame:
+def dedup_lines(docs: DataFrame, short: int = 0, words: int = WORDS) -> DataFrame:
     """The documents without the lines that go; a document that had such lines and has no other left goes too."""
-    out = marked(docs, short).withColumn("text", kept_text())
-    empty = F.col("_gone").isNotNull() & (F.regexp_replace("text", r"[\x09-\x0D\x20 ]+", "") == "")
+    (gone,) = spare(docs.columns, "_gone")
+    out = marked(docs, short, words, gone).withColumn("text", kept_text(gone))
+    empty = F.col(gone).isNotNull() & (F.regexp_replace("text", r"[\x09-\x0D\x20]+", "") == "")
     return out.where(~empty).select(*docs.columns)
