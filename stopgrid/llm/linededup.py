@@ -12,7 +12,7 @@ an equal key of the first kind are near each other, and all with a variant equal
 each key finds the earliest, without pairs. The edit distance of each line and the earliest found for it is then verified.
 
 Variants are only emitted where they can meet: of two near lines cut in half (at the shorter one's length), one half is equal; so lines
-that share neither half with another distinct line are left out. Variants' keys are running XORs of hashes of (unit, place), so a line
+that share neither half (of units, rounded down to an even number) with another distinct line are left out. Variants' keys are running XORs of hashes of (unit, place), so a line
 of n units costs n rows, not n squared. Lines are named by 128-bit hashes of their normal forms.
 
 Null texts stay null, empty ones empty; an empty table gives an empty one. Very long texts and lines are rows like others. Documents of
@@ -41,9 +41,9 @@ def squeezed(line: Column) -> Column:
 
 
 def lines_of(docs: DataFrame) -> DataFrame:
-    """doc_id, row (a hash of the text), at (the line's number), norm: for every line with a normal form."""
+    """doc_id, row (a hash of the text), at (the line's number), norm (empty for blank lines) of every line."""
     each = docs.where("text is not null").select("doc_id", F.xxhash64("text").alias("row"), F.posexplode(F.split(F.lower("text"), "\n")).alias("at", "line"))
-    return each.select("doc_id", "row", "at", squeezed(F.col("line")).alias("norm")).where("norm <> ''")
+    return each.select("doc_id", "row", "at", squeezed(F.col("line")).alias("norm"))
 
 
 def place() -> Column:
@@ -56,37 +56,34 @@ def name_of(norm: Column) -> Column:
 
 
 def n_words(norm: Column) -> Column:
-    return F.length(norm) - F.length(F.replace(norm, F.lit(" "))) + 1
+    return F.size(F.split(norm, " "))
 
 
 def units(norm: Column, words: int) -> Column:
     return F.when(n_words(norm) >= words, F.split(norm, " ")).otherwise(F.regexp_extract_all(norm, F.lit("(?s)(.)"), F.lit(1)))
 
 
-def half_keys(norm: Column, words: int) -> list[Column]:
-    """Hashes of a line's halves, at the two lengths at which a near line may be cut."""
-    by, n = n_words(norm) >= words, F.when(n_words(norm) >= words, n_words(norm)).otherwise(F.length(norm))
-
-    def head(k: Column) -> Column:
-        return F.when(by, F.call_function("substring_index", norm, F.lit(" "), k)).otherwise(F.left(norm, k))
+HALVES = ["h0", "h1", "h2", "h3"]
 
-    def tail(k: Column) -> Column:
-        return F.when(by, F.call_function("substring_index", norm, F.lit(" "), -k)).otherwise(F.right(norm, k))
 
-    out = []
-    for m in (n, n - 1):
-        half = F.floor(m / 2).cast("int")
-        out += [F.xxhash64(F.lit(0), by, m, head(half)), F.xxhash64(F.lit(1), by, m, tail(m - half))]
-    return out
+def half_keys() -> list[Column]:
+    """Hashes of a line's first and last 2 * (n div 4) units, at the two lengths that a line near it may go by. From norm, by (words or not) and n."""
 
+    def ends(k: Column) -> list[Column]:
+        head = F.when(F.col("by"), F.call_function("substring_index", "norm", F.lit(" "), k)).otherwise(F.left("norm", k))
+        tail = F.when(F.col("by"), F.call_function("substring_index", "norm", F.lit(" "), -k)).otherwise(F.right("norm", k))
+        return [F.xxhash64(F.lit(0), "by", k, head), F.xxhash64(F.lit(1), "by", k, tail)]
 
-HALVES = ["h0", "h1", "h2", "h3"]
+    return [*ends(F.col("half")), *(F.when(F.col("n") % 4 == 0, k) for k in ends(F.col("half") - 2))]
 
 
 def line_table(docs: DataFrame, short: int, words: int) -> DataFrame:
-    """doc_id, row, at, line (its name) and the halves' keys (null for short lines) of every line, written once: the texts are read and folded in one pass."""
-    keys = [F.when(F.length("norm") > short, k).alias(h) for h, k in zip(HALVES, half_keys(F.col("norm"), words), strict=True)]
-    return written(lines_of(docs).select("doc_id", "row", "at", name_of(F.col("norm")).alias("line"), *keys), "lines")
+    """doc_id, row, at, line (its name) and the halves' keys (null for short lines) of every line that isn't blank, written once: the texts are read and folded in one pass."""
+    sized = lines_of(docs).withColumn("n", n_words(F.col("norm"))).withColumn("by", F.col("n") >= words)
+    sized = sized.withColumn("n", F.when(F.col("by"), F.col("n")).otherwise(F.length("norm"))).withColumn("half", F.floor(F.col("n") / 4).cast("int") * 2)
+    keys = [F.when(F.col("by") | (F.col("n") > short), k).alias(h) for h, k in zip(HALVES, half_keys(), strict=True)]
+    # blank lines are left out after the table is written: a filter before it would have lines folded twice
+    return written(sized.select("doc_id", "row", "at", F.when(F.col("norm") != "", name_of(F.col("norm"))).alias("line"), *keys), "lines").where("line is not null")
 
 
 def first_places(table: DataFrame) -> DataFrame:
@@ -95,15 +92,15 @@ def first_places(table: DataFrame) -> DataFrame:
 
 
 def sharing(firsts: DataFrame) -> DataFrame:
-    """The distinct lines that have a half in common with another one."""
-    each = firsts.where("h0 is not null").select("line", F.explode(F.array(*HALVES)).alias("key"))
-    shared = each.select("key", F.xxhash64("line").alias("x")).groupBy("key").agg(F.min("x").alias("a"), F.max("x").alias("b")).where("a <> b").select("key")
-    return each.join(shared, "key", "left_semi").select("line").distinct()
+    """x, a hash of the name, of the distinct lines that have a half in common with another one."""
+    each = firsts.where("h0 is not null").select(F.xxhash64("line").alias("x"), F.explode(F.array(*HALVES)).alias("key")).where("key is not null")
+    shared = each.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key")
+    return each.join(shared, "key", "left_semi").select("x").distinct()
 
 
 def candidates(docs: DataFrame, firsts: DataFrame) -> DataFrame:
     """line, first and norm of the distinct lines that may have near ones."""
-    chosen = firsts.select("line", "first").join(sharing(firsts), "line", "left_semi")
+    chosen = firsts.select(F.xxhash64("line").alias("x"), "first").join(sharing(firsts), "x", "left_semi")
     # the text of a candidate comes from its earliest place; only documents with such places are dealt
     wanted = chosen.groupBy("first.doc_id", "first.row").agg(F.collect_set("first.at").alias("ats")).select(F.col("doc_id").alias("d"), F.col("row").alias("w"), "ats")
     held = docs.where("text is not null").select("doc_id", F.xxhash64("text").alias("row"), "text").join(written(wanted, "wanted"), F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("row") == F.col("w")))
