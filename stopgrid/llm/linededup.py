@@ -99,30 +99,37 @@ def sharing(firsts: DataFrame) -> DataFrame:
 
 
 def candidates(docs: DataFrame, firsts: DataFrame) -> DataFrame:
-    """line, first and norm of the distinct lines that may have near ones."""
+    """line, first, norm and id (a number of its own) of the distinct lines that may have near ones."""
     chosen = firsts.select(F.xxhash64("line").alias("x"), "first").join(sharing(firsts), "x", "left_semi")
     # the text of a candidate comes from its earliest place; only documents with such places are dealt
     wanted = chosen.groupBy("first.doc_id", "first.row").agg(F.collect_set("first.at").alias("ats")).select(F.col("doc_id").alias("d"), F.col("row").alias("w"), "ats")
     held = docs.where("text is not null").select("doc_id", F.xxhash64("text").alias("row"), "text").join(written(wanted, "wanted"), F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("row") == F.col("w")))
     each = held.select("doc_id", "row", "ats", F.posexplode(F.split(F.lower("text"), "\n")).alias("at", "line")).where(F.array_contains("ats", F.col("at")))
     text = each.select(place().alias("first"), squeezed(F.col("line")).alias("norm"))
-    return written(text.select(name_of(F.col("norm")).alias("line"), "first", "norm").dropDuplicates(["line"]), "candidates")
+    return written(text.select(name_of(F.col("norm")).alias("line"), "first", "norm").dropDuplicates(["line"]).withColumn("id", F.monotonically_increasing_id()), "candidates")
 
 
 def variant_keys(text: DataFrame, words: int) -> DataFrame:
-    """line, first, kind, key. Kind 0: one unit deleted, with its place; 1: one unit deleted; 2: the whole line."""
+    """id, kind, key. Kind 0: one unit deleted, with its place; 1: one unit deleted; 2: the whole line."""
     xor = lambda shift: F.aggregate(F.transform("units", lambda u, i: F.xxhash64(u, i - shift)), F.lit(0).cast("long"), lambda a, x: a.bitwiseXOR(x))
-    lines = text.select("line", "first", (n_words(F.col("norm")) >= words).alias("by"), units(F.col("norm"), words).alias("units"))
-    lines = lines.select("line", "first", "by", F.size("units").alias("n"), xor(0).alias("whole"), xor(1).alias("left"), "units")
-    order = Window.partitionBy("line").orderBy("i").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    each = lines.select("line", "first", "by", "n", "left", F.posexplode("units").alias("i", "u"))
-    here, moved = F.xxhash64("u", "i"), F.xxhash64("u", F.col("i") - 1)
-    head, tail = F.bit_xor(here).over(order).bitwiseXOR(here), F.col("left").bitwiseXOR(F.bit_xor(moved).over(order))
-    cut = each.select("line", "first", "i", F.xxhash64(F.col("n") - 1, "by", head.bitwiseXOR(tail)).alias("rest"))
+    lines = text.select("id", (n_words(F.col("norm")) >= words).alias("by"), units(F.col("norm"), words).alias("units")).withColumn("n", F.size("units"))
+    own = lines.select("id", F.xxhash64(F.col("n") - 1, "by").bitwiseXOR(xor(1)).alias("moved"), "units")
+    each = own.select("id", "moved", F.posexplode("units").alias("i", "u"))  # a step of its own, or each unit's row would hold the array
+    # what the units before a place and, moved by one, those after it come to: a line's own share is added at its first unit
+    here, step = F.xxhash64("u", "i"), F.xxhash64("u", "i").bitwiseXOR(F.xxhash64("u", F.col("i") - 1))
+    each = each.select("id", "i", here.alias("here"), F.when(F.col("i") == 0, step.bitwiseXOR(F.col("moved"))).otherwise(step).alias("step"))
+    order = Window.partitionBy("id").orderBy("i").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    cut = each.select("id", "i", F.bit_xor("step").over(order).bitwiseXOR(F.col("here")).alias("rest"))
     kinds = F.array(F.struct(F.lit(0).alias("kind"), F.xxhash64("rest", "i").alias("key")), F.struct(F.lit(1).alias("kind"), F.col("rest").alias("key")))
-    deleted = cut.select("line", "first", F.inline(kinds))
-    entire = lines.select("line", "first", F.lit(2).alias("kind"), F.xxhash64("n", "by", "whole").alias("key"))
-    return written(deleted.unionByName(entire).withColumn("place", (F.col("kind") == 0)), "variants")
+    entire = lines.select("id", F.lit(2).alias("kind"), F.xxhash64("n", "by").bitwiseXOR(xor(0)).alias("key"))
+    return written(cut.select("id", F.inline(kinds)).unionByName(entire), "variants")
+
+
+def meeting(keys: DataFrame) -> DataFrame:
+    """The variants whose key another line has too: kind 0 meets kind 0; kind 1 meets kind 2."""
+    kinds = F.bit_or(F.call_function("shiftleft", F.lit(1), "kind"))
+    met = keys.groupBy("key").agg(F.count(F.lit(1)).alias("n"), kinds.alias("kinds")).where("n > 1 and (kinds & 1 = 1 or kinds & 6 = 6)").select("key")
+    return keys.join(met, "key", "left_semi")
 
 
 def within_one(a: Column, b: Column) -> Column:
@@ -137,13 +144,11 @@ def within_one(a: Column, b: Column) -> Column:
 def near_lines(docs: DataFrame, firsts: DataFrame, words: int) -> DataFrame:
     """line and near: the earliest place of an earlier near line, for the distinct lines that have one."""
     text = candidates(docs, firsts)
-    keys = variant_keys(text, words)
+    keys = written(meeting(variant_keys(text, words)).join(text.select("id", "line", "first"), "id"), "meeting")
     earliest = lambda k: F.min(F.when(F.col("kind") == k, F.struct("first", "line")))
-    # kind 0 meets kind 0; kind 1 meets kind 2
-    table = keys.groupBy("place", "key").agg(earliest(0).alias("e0"), earliest(1).alias("e1"), earliest(2).alias("e2"), F.count(F.lit(1)).alias("n")).where("n > 1 and (place or (e1 is not null and e2 is not null))").drop("n")
-    met = keys.join(table, ["place", "key"])
+    table = keys.groupBy("key").agg(earliest(0).alias("e0"), earliest(1).alias("e1"), earliest(2).alias("e2"))
     other = F.when(F.col("kind") == 0, F.col("e0")).when(F.col("kind") == 1, F.col("e2")).otherwise(F.col("e1"))
-    pairs = met.select("line", "first", other.alias("other")).where(F.col("other.first") < F.col("first")).groupBy("line").agg(F.min("other").alias("other"))
+    pairs = keys.join(table, "key").select("line", "first", other.alias("other")).where(F.col("other.first") < F.col("first")).groupBy("line").agg(F.min("other").alias("other"))
     sides = pairs.select("line", F.col("other.line").alias("partner"), F.col("other.first").alias("near"))
     norms = text.select("line", "norm")
     both = sides.join(norms, "line").join(norms.select(F.col("line").alias("partner"), F.col("norm").alias("norm2")), "partner")
