@@ -6,7 +6,7 @@ import gc
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import ship
@@ -62,6 +62,21 @@ def spare(taken: list[str], *names: str) -> list[str]:
     return out
 
 
+def maybe_in(df: DataFrame, hashed: Column, keys: DataFrame, n: int) -> DataFrame:
+    """The rows of df whose hash may be among the n hashes of keys (one long column): none that is goes, and few others stay.
+
+    keys become a bitmap of about 16 bits for each, 16 MB at most (beyond, it only lets more rows stay), which is broadcast; so a join
+    after it only moves rows that it needs.
+    """
+    bits = min(max(1 << (16 * n).bit_length(), 1 << 15), 1 << 27)
+    held = keys.select(F.pmod(F.col(keys.columns[0]), F.lit(bits)).alias("v")).groupBy(F.bitmap_bucket_number("v").alias("_bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("v")).alias("_bits"))
+    v = F.pmod(hashed, F.lit(bits))
+    at = F.bitmap_bit_position(v)
+    byte = F.conv(F.hex(F.substr("_bits", (F.floor(at / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    is_set = F.call_function("shiftright", byte, F.pmod(at, F.lit(8)).cast("int")).bitwiseAND(1) == 1
+    return df.join(F.broadcast(held), F.bitmap_bucket_number(v) == F.col("_bucket")).where(is_set).drop("_bucket", "_bits")
+
+
 def text_of(df: DataFrame) -> DataFrame:
     """doc_id and the whole text, null as empty; nothing else is read."""
     return df.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))

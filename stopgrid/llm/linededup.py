@@ -25,7 +25,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import spare, written
+from .common import maybe_in, spare, written
 
 #: Characters up to which a line goes only for an equal one, and words from which a line's unit is the word, in the query and the pipeline.
 SHORT, WORDS = 12, 10
@@ -103,7 +103,9 @@ def candidates(docs: DataFrame, firsts: DataFrame) -> DataFrame:
     chosen = firsts.select(F.xxhash64("line").alias("x"), "first").join(sharing(firsts), "x", "left_semi")
     # the text of a candidate comes from its earliest place; only documents with such places are dealt
     wanted = chosen.groupBy("first.doc_id", "first.row").agg(F.collect_set("first.at").alias("ats")).select(F.col("doc_id").alias("d"), F.col("row").alias("w"), "ats")
-    held = docs.where("text is not null").select("doc_id", F.xxhash64("text").alias("row"), "text").join(written(wanted, "wanted"), F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("row") == F.col("w")))
+    wanted = written(wanted, "wanted")
+    held = maybe_in(docs.where("text is not null").select("doc_id", F.xxhash64("text").alias("row"), "text"), F.col("row"), wanted.select("w"), wanted.count())
+    held = held.join(wanted, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("row") == F.col("w")))
     each = held.select("doc_id", "row", "ats", F.posexplode(F.split(F.lower("text"), "\n")).alias("at", "line")).where(F.array_contains("ats", F.col("at")))
     text = each.select(place().alias("first"), squeezed(F.col("line")).alias("norm"))
     return written(text.select(name_of(F.col("norm")).alias("line"), "first", "norm").dropDuplicates(["line"]).withColumn("id", F.monotonically_increasing_id()), "candidates")
