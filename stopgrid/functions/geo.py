@@ -197,10 +197,3 @@ def degrees_for(m: float) -> float:
 def box_degrees(radius: float) -> float:
     """Half the side of a box around a point that holds a radius in metres up to 70°."""
     return radius / LON_METRES * 3
-
-
-def simple_metres(a: tuple[float, float], b: tuple[float, float]) -> float:
-    """(lat, lon) pairs, for Python code over one route."""
-    la, lb = math.radians(a[0]), math.radians(b[0])
-    h = math.sin((lb - la) / 2) ** 2 + math.cos(la) * math.cos(lb) * math.sin(math.radians(b[1] - a[1]) / 2) ** 2
-    return 2 * ROUND_RADIUS * math.asin(math.sqrt(h))

@@ -376,13 +376,13 @@ def q_line(spark: SparkSession, sf_dir: str) -> DataFrame:
 @R.frame("fn_variant_stops")
 def fn_variant_stops(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = [(1, [(0.0, 0.0, False), (0.0, 0.5, True), (0.0, 1.0, False)]), (2, [(0.0, 0.0, True), (0.0, 5.0, False), (0.0, 1.0, True)])]
-    return spark.createDataFrame(rows, "id int, points array<struct<lat:double,lng:double,platform:boolean>>").select("id", F.to_json(V.variant_stops(F.col("points"))).alias("stops"))
+    return spark.createDataFrame(rows, "id int, points array<struct<lat:double,lng:double,platform:boolean>>").select("id", F.to_json(V.drawn_stretch(F.col("points"))).alias("stops"))
 
 
 @R.frame("fn_tidy_stops")
 def fn_tidy_stops(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = [(1, [(0.0, 0.0, "A"), (0.0, 1.0, "B"), (0.0, 2.0, "C"), (0.0, 1.0, "b ")]), (2, [(0.0, 2.0, "C"), (0.0, 0.0, "A"), (0.0, 3.0, "D"), (0.0, 1.0, "B")])]
-    return spark.createDataFrame(rows, f"id int, stops array<{V.STOP}>").select("id", F.to_json(V.tidy_stops(F.col("stops"))).alias("stops"))
+    return spark.createDataFrame(rows, f"id int, stops array<{V.STOP}>").select("id", F.to_json(V.drawn_order(F.col("stops"))).alias("stops"))
 
 
 @R.frame("fn_labels")

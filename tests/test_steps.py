@@ -1,9 +1,13 @@
 """Hand-made cases of the build steps and of the serving helpers."""
 
+import math
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
-from stopgrid.functions.latin import latin_name
+from stopgrid.functions.latin import Row, latin_table, resolve
+from stopgrid.functions.paths import drawn_order, drawn_stretch
 from stopgrid.plans import publish as P
 from stopgrid.plans import serve as V
 from stopgrid.plans import steps as S
@@ -69,10 +73,48 @@ def test_strays_and_bus_stations(spark):
     assert {r["osm_id"]: r["key"] for r in S.bus_stations(build(b)).collect()} == {1: "N1", 2: "N1", 3: "N3"}
 
 
-def test_tidy_and_drawable():
-    assert V.tidy([(0.0, 0.0, "A"), (0.0, 1.0, "B"), (0.0, 2.0, "C"), (0.0, 1.0, "b ")]) == [(0.0, 0.0, "A"), (0.0, 1.0, "B"), (0.0, 2.0, "C")]
-    assert V.drawable([(0.0, 0.0, True), (0.0, 5.0, False), (0.0, 1.0, True)]) == [(0.0, 0.0), (0.0, 1.0)]
-    assert V.drawable([(0.0, 0.0, False), (0.0, 0.5, True), (0.0, 1.0, False)]) == [(0.0, 0.0), (0.0, 1.0)]
+def brute_order(stops):
+    """Repeats dropped; then of all starts of the farthest pairs, the chain of nearest stops, if it is 1.3 times shorter."""
+    met = lambda a, b: 2 * 6371000 * math.asin(math.sqrt(math.sin(math.radians(b[0] - a[0]) / 2) ** 2 + math.cos(math.radians(a[0])) * math.cos(math.radians(b[0])) * math.sin(math.radians(b[1] - a[1]) / 2) ** 2))
+    once = {}
+    for s in stops:
+        once.setdefault((s[2] or "").strip().lower() or tuple(round(x, 4) for x in s[:2]), s)
+    given = list(once.values())
+    if len(given) < 3:
+        return given
+    best, start = -1.0, 0
+    for i, a in enumerate(given):
+        for b in given[i + 1 :]:
+            if met(a, b) > best:
+                best, start = met(a, b), i
+    order = [start]
+    while len(order) < len(given):
+        order.append(min((i for i in range(len(given)) if i not in order), key=lambda i: met(given[order[-1]], given[i])))
+    walk = lambda c: sum(met(a, b) for a, b in zip(c, c[1:], strict=False))
+    chain = [given[i] for i in order]
+    if walk(chain) >= walk(given) / 1.3:
+        return given
+    return chain[::-1] if met(given[0], chain[-1]) < met(given[0], chain[0]) else chain
+
+
+def test_drawn_order_against_brute_force(spark):
+    rng = random.Random(2)
+    routes = [[(0.0, 0.0, "A"), (0.0, 1.0, "B"), (0.0, 2.0, "C"), (0.0, 1.0, "b ")], [(1.0, 1.0, None)], [], [(0.0, 0.0, None), (0.0, 0.00001, ""), (0.0, 1.0, "x")]]
+    for n in (2, 3, 5, 9, 30):
+        for _ in range(6):
+            line = [(48 + i / 50 + rng.random() / 200, 2 + i / 90, rng.choice([None, f"s{i}", f" S{i % 7}"])) for i in range(n)]
+            routes += [line, rng.sample(line, n), line + line[::-1]]
+    df = spark.createDataFrame([(i, r) for i, r in enumerate(routes)], f"id int, stops array<{V.STOP}>").select("id", drawn_order(F.col("stops")).alias("o"))
+    got = {r["id"]: [(x["lat"], x["lng"], x["name"]) for x in r["o"]] for r in df.collect()}
+    assert got == {i: brute_order(r) for i, r in enumerate(routes)}
+    assert any(brute_order(r) != r for r in routes)
+
+
+def test_drawn_stretch(spark):
+    rows = [(1, [(0.0, 0.0, True), (0.0, 5.0, False), (0.0, 1.0, True)]), (2, [(0.0, 0.0, False), (0.0, 0.5, True), (0.0, 1.0, False)]), (3, [(0.0, 0.0, False), (0.2, 0.5, None), (0.0, 1.0, True)]), (4, [(1.0, 2.0, True)]), (5, [])]
+    df = spark.createDataFrame(rows, "id int, p array<struct<lat:double,lng:double,platform:boolean>>").select("id", drawn_stretch(F.col("p")).alias("o"))
+    got = {r["id"]: [tuple(x) for x in r["o"]] for r in df.collect()}
+    assert got == {1: [(0.0, 0.0), (0.0, 1.0)], 2: [(0.0, 0.0), (0.0, 1.0)], 3: [(0.0, 0.0), (0.2, 0.5), (0.0, 1.0)], 4: [(1.0, 2.0)] * 2, 5: []}
 
 
 def test_redirects_and_usage(spark):
@@ -88,13 +130,20 @@ def test_redirects_and_usage(spark):
 
 def test_latin_rules():
     table = {("Russian-Latin/BGN", "Москва"): "Moskva", ("Han-Latin", "成都东"): "chéng dōu dōng", ("Any-Latin", "กทม"): "kthm"}
-    run = lambda name, text: table.get((name, text))
-    assert latin_name({"name": "Gare"}, "FR", run) == "Gare"
-    assert latin_name({"name": "Москва", "name:en": "Moskwa"}, "RU", run) == "Moskva"
-    assert latin_name({"name": "Москва", "name:en": "Moskva!"}, "RU", run) == "Moskva!"
-    assert latin_name({"name": "成都东"}, "CN", run) == "Chengdoudong"
-    assert latin_name({"name": "東京", "name:en": "Tokyo"}, "JP", run) == "Tokyo"
-    assert latin_name({"name": "x", "int_name": "I"}, None, run) == "I"
+    run = lambda name, texts: [table.get((name, t), "") for t in texts]
+    cases = [
+        ({"name": "Gare"}, "FR", "Gare"), ({"name": "Москва", "name:en": "Moskwa"}, "RU", "Moskva"), ({"name": "Москва", "name:en": "Moskva!"}, "RU", "Moskva!"),
+        ({"name": "成都东"}, "CN", "Chengdoudong"), ({"name": "東京", "name:en": "Tokyo"}, "JP", "Tokyo"), ({"name": "x", "int_name": "I"}, None, "I"),
+        ({"name": "กทม"}, "TH", "kthm"), ({"name": "東京"}, "JP", "東京"), ({"name": "Москва", "name:ru-Latn": "Moscou"}, "RU", "Moscou"), ({"name": "BRT2成都东(A)"}, "CN", "BRT2 Chengdoudong (A)"), ({}, None, ""),
+    ]
+    assert resolve([Row(n, c) for n, c, _ in cases], run) == [w for _, _, w in cases]
+
+
+def test_latin_table_runs_on_executors(spark):
+    rows = [({"name": "Москва"}, "RU"), ({"name": "Київ"}, "UA"), ({"name": "Αθήνα"}, "GR"), ({"name": "Улаанбаатар ᠤᠯᠠᠭᠠᠨ"}, "MN"), ({"name": "Тбилиси"}, None), ({"name": "თბილისი"}, "GE"), ({"name": "荷花池街道"}, "CN"), ({"name": "Москва"}, "RU")]
+    got = {(r["e"][0]["value"], r["country"]): r["latin"] for r in latin_table(spark.createDataFrame(rows, "names map<string,string>, country string").repartition(4)).collect()}
+    assert got[("Москва", "RU")] == "Moskva" and got[("荷花池街道", "CN")] == "Hehuachijiedao" and got[("თბილისი", "GE")] == "Tbilisi"
+    assert len(got) == 7 and got[("Улаанбаатар ᠤᠯᠠᠭᠠᠨ", "MN")].startswith("Ulaanba")
 
 
 def test_search_tiers(spark):
