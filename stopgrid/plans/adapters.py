@@ -14,6 +14,8 @@ DBL = "CAST({} AS DOUBLE)"
 LON = "CAST(2.0 AS DOUBLE) + CAST(({k} * {a}) % {b} AS DOUBLE) / CAST({b} AS DOUBLE) * CAST(0.25 AS DOUBLE)"
 LAT = "CAST(48.7 AS DOUBLE) + CAST(({k} * {a}) % {b} AS DOUBLE) / CAST({b} AS DOUBLE) * CAST(0.2 AS DOUBLE)"
 
+#: Stop positions of trains stand beside the platform six keys on.
+BESIDE = "(c_custkey + CASE WHEN c_custkey % 24 = 5 THEN 6 ELSE 0 END)"
 #: Customers as stops: kinds by the key modulo 12.
 STOPS = f"""
 SELECT 'N' AS osm_type, c_custkey AS osm_id,
@@ -30,29 +32,26 @@ SELECT 'N' AS osm_type, c_custkey AS osm_id,
   CASE WHEN c_custkey % 12 = 11 THEN CAST(c_custkey % 9 + 1 AS VARCHAR(9)) END AS ref,
   CASE WHEN c_custkey % 36 = 0 THEN 'Q' || (c_custkey % 72) WHEN c_custkey % 48 = 0 THEN 'x' END AS wikidata,
   CASE WHEN c_custkey % 24 = 0 THEN '87' || c_custkey END AS uic_ref,
-  {LON.format(k='c_custkey', a=7919, b=2003)} AS lon, {LAT.format(k='c_custkey', a=104729, b=1999)} AS lat
+  {LON.format(k=BESIDE, a=7919, b=2003)} + CAST(c_custkey % 24 IN (5) AS INTEGER) * CAST(0.0002 AS DOUBLE) AS lon, {LAT.format(k=BESIDE, a=104729, b=1999)} AS lat
 FROM {{customer}}"""
 STOP_TAGS = ("railway", "highway", "amenity", "public_transport", "aerialway", "station", "train", "tram", "bus", "name", "ref", "wikidata", "uic_ref")
 
-#: Orders as relations; their items are the members, by (line number, part, supplier, quantity, price). RELS and MEMBERS, which only the
-#: SQL reads, are those of every 13th order; the steps read all.
-ALL_RELS = """
+#: Orders as relations, every 65th a stop area (more would make one area of all) and the others routes; their items are the members, by (line number, part, supplier, quantity, price).
+RELS = """
 SELECT o_orderkey AS relation_id,
-  CASE WHEN o_orderkey % 5 = 0 THEN 'stop_area' END AS public_transport,
-  CASE o_orderkey % 5 WHEN 1 THEN 'train' WHEN 2 THEN 'subway' WHEN 3 THEN 'tram' WHEN 4 THEN 'light_rail' END AS route,
+  CASE WHEN o_orderkey % 65 = 0 THEN 'stop_area' END AS public_transport,
+  CASE o_orderkey % 5 WHEN 1 THEN 'train' WHEN 2 THEN 'subway' WHEN 3 THEN 'tram' WHEN 4 THEN 'light_rail' ELSE CASE WHEN o_orderkey % 65 <> 0 THEN 'ferry' END END AS route,
   CASE WHEN o_orderkey % 5 = 1 AND o_orderkey % 3 = 0 THEN 'TGV ' || (o_orderkey % 900 + 100) WHEN o_orderkey % 7 <> 0 THEN 'L' || (o_orderkey % 30) END AS ref,
   CASE WHEN o_orderkey % 11 = 0 THEN 'night' END AS service,
   CASE WHEN o_orderkey % 2 = 0 THEN '#' || (o_orderkey % 100) END AS colour,
   CASE WHEN o_orderkey % 4 <> 0 THEN o_orderpriority END AS name
 FROM {orders}"""
-RELS = f"{ALL_RELS} WHERE o_orderkey % 13 = 0"
 REL_TAGS = ("public_transport", "route", "ref", "service", "colour", "name")
-ALL_MEMBERS = """
+MEMBERS = """
 SELECT l_orderkey AS relation_id, 'N' AS osm_type, l_partkey AS osm_id,
   CASE WHEN l_orderkey % 2 = 0 AND l_returnflag = 'A' THEN 'stop_exit' WHEN l_returnflag = 'R' THEN 'platform' ELSE '' END AS role,
   CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice) AS INTEGER) AS seq
 FROM {lineitem}"""
-MEMBERS = f"{ALL_MEMBERS} WHERE l_orderkey % 13 = 0"
 
 #: Suppliers as settlements.
 PLACES = f"""
@@ -91,8 +90,8 @@ def stops(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def rels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    m = run_sql(spark, sf_dir, ALL_MEMBERS).groupBy("relation_id").agg(F.array_sort(F.collect_list(F.struct("seq", F.struct(F.col("osm_type").alias("type"), F.col("osm_id").alias("ref"), "role").alias("m")))).alias("m"))
-    rows = run_sql(spark, sf_dir, ALL_RELS).join(m, "relation_id")
+    m = run_sql(spark, sf_dir, MEMBERS).groupBy("relation_id").agg(F.array_sort(F.collect_list(F.struct("seq", F.struct(F.col("osm_type").alias("type"), F.col("osm_id").alias("ref"), "role").alias("m")))).alias("m"))
+    rows = run_sql(spark, sf_dir, RELS).join(m, "relation_id")
     return rows.select("relation_id", _tags(REL_TAGS).alias("tags"), F.transform("m", lambda x: x["m"]).alias("members"))
 
 

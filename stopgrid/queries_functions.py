@@ -209,9 +209,9 @@ def join_point_in_polygon(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contains_join(stops(spark, sf_dir), rectangles(spark, sf_dir), 0.05).select("c_custkey", "n_nationkey")
 
 
-@R.frame("join_polygon_distance", f"SELECT s.c_custkey, r.n_nationkey FROM ({D_STOPS}) s JOIN ({D_RECT}) r ON r.n_nationkey = 12 AND sqrt(pow(greatest(r.x0 - s.lon, 0, s.lon - r.x0 - 0.05), 2) + pow(greatest(r.y0 - s.lat, 0, s.lat - r.y0 - 0.04), 2)) <= 500 / (111320 * cos(radians(s.lat)))")
+@R.frame("join_polygon_distance", f"SELECT s.c_custkey, r.n_nationkey FROM ({D_STOPS}) s JOIN ({D_RECT}) r ON sqrt(pow(greatest(r.x0 - s.lon, 0, s.lon - r.x0 - 0.05), 2) + pow(greatest(r.y0 - s.lat, 0, s.lat - r.y0 - 0.04), 2)) <= 500 / (111320 * cos(radians(s.lat)))")
 def join_polygon_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All polygons (the SQL: one) at most 500 m away, in degrees scaled by the point's latitude: cells around the polygons' boxes first."""
+    """Polygons at most 500 m away, in degrees scaled by the point's latitude: cells around the polygons' boxes first."""
     from .operators.spatial import near_polygons
 
     return near_polygons(stops(spark, sf_dir), rectangles(spark, sf_dir), 500).select("c_custkey", "n_nationkey")

