@@ -186,6 +186,35 @@ def bbox(rings: Column) -> dict[str, Column]:
     return {"x0": F.array_min(lons), "x1": F.array_max(lons), "y0": F.array_min(lats), "y1": F.array_max(lats)}
 
 
+def beyond(ring: Column, axis: str, bound: Column, above: bool) -> Column:
+    """What of a ring is on one side of a line (its points may be on it), closed; empty where nothing is. Stretches along the line join what
+    was apart, which changes neither areas nor crossings."""
+    other = "lat" if axis == "lon" else "lon"
+    kept = (lambda p: p[axis] >= bound) if above else (lambda p: p[axis] <= bound)
+
+    def met(s: Column) -> Column:
+        t = (bound - s["a"][axis]) / (s["b"][axis] - s["a"][axis])
+        at = {axis: bound, other: s["a"][other] + t * (s["b"][other] - s["a"][other])}
+        return F.struct(at["lon"].alias("lon"), at["lat"].alias("lat"))
+
+    def left(s: Column) -> Column:
+        crossed = F.when(kept(s["a"]) != kept(s["b"]), met(s))
+        return F.array_compact(F.array(crossed, F.when(kept(s["b"]), s["b"])))
+
+    points = F.flatten(F.transform(segments(ring), left))
+    return F.transform(F.array(points), lambda own: F.concat(own, F.slice(own, 1, 1)))[0]  # one value, worked out once
+
+
+def strip(rings: Column, axis: str, low: Column, high: Column) -> Column:
+    """The rings between two lines; those with nothing there are left out."""
+    cut = F.transform(rings, lambda r: beyond(beyond(r, axis, low, True), axis, high, False))
+    return F.filter(cut, lambda r: F.size(r) > 3)
+
+
+def n_points(rings: Column) -> Column:
+    return F.aggregate(rings, F.lit(0), lambda n, r: n + F.size(r))
+
+
 def cell(x: Column, size: float) -> Column:
     return F.floor(x / F.lit(float(size))).cast("long")
 

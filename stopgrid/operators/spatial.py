@@ -11,6 +11,9 @@ from pyspark.sql import functions as F
 
 from ..functions import geo
 
+#: Points up to which a polygon is met whole (fixed value of the outlines' cutting).
+MOST_POINTS = 256
+
 
 def around(x: Column, reach: float) -> Column:
     """The cells that [x - reach, x + reach] touches, for cells of size reach."""
@@ -68,10 +71,47 @@ def polygon_cells(polygons: DataFrame, size: float, rings: str = "rings") -> Dat
     return polygons.withColumn("_cx", F.explode(xs)).withColumn("_cy", F.explode(ys))
 
 
+def clipped_cells(polygons: DataFrame, size: float, most: int = MOST_POINTS, rings: str = "rings") -> DataFrame:
+    """polygon_cells, but of a polygon with over ``most`` points each cell holds only what is in it (and a margin, so that no point of
+    the cell is on a cut): first strips of longitude, then their cells. So a cell's row is as long as the outline is there."""
+    small = F.col("_n") <= most
+    margin = size / 1024
+    r = F.col(rings)
+    across = lambda c, axis: F.when(small, r).otherwise(geo.strip(r, axis, F.col(c) * size - margin, (F.col(c) + 1) * size + margin))
+    sized = polygons.withColumn("_n", geo.n_points(r))
+    box = geo.bbox(r)
+    strips = sized.withColumn("_cx", F.explode(F.sequence(geo.cell(box["x0"], size), geo.cell(box["x1"], size))))
+    strips = strips.withColumn(rings, across("_cx", "lon")).where(F.size(rings) > 0)
+    cells = strips.withColumn("_cy", F.explode(F.sequence(geo.cell(box["y0"], size), geo.cell(box["y1"], size))))
+    return cells.withColumn(rings, across("_cy", "lat")).where(F.size(rings) > 0).drop("_n")
+
+
+def subdivide(polygons: DataFrame, most: int = MOST_POINTS, rings: str = "rings") -> DataFrame:
+    """Polygons in pieces of at most ``most`` points: halves of the longer side of their box, again while any is larger."""
+    from .tables import written
+
+    done, left = None, polygons
+    r = F.col(rings)
+    while True:
+        left = written(left.withColumn("_n", geo.n_points(r)), "pieces")
+        small = left.where(F.col("_n") <= most).drop("_n")
+        done = small if done is None else done.unionByName(small)
+        large = left.where(F.col("_n") > most).drop("_n")
+        if not large.limit(1).count():
+            return done
+        box = geo.bbox(r)
+        boxed = large.select("*", *(v.alias(f"_{k}") for k, v in box.items()))
+        wide = (F.col("_x1") - F.col("_x0")) >= (F.col("_y1") - F.col("_y0"))
+        half = lambda axis, above: F.filter(F.transform(r, lambda x: geo.beyond(x, axis, F.col("_mid"), above)), lambda x: F.size(x) > 3)
+        boxed = boxed.withColumn("_mid", F.when(wide, (F.col("_x0") + F.col("_x1")) / 2).otherwise((F.col("_y0") + F.col("_y1")) / 2))
+        halves = F.explode(F.when(wide, F.array(half("lon", False), half("lon", True))).otherwise(F.array(half("lat", False), half("lat", True))))
+        left = boxed.withColumn("_half", halves).where(F.size("_half") > 0).withColumn(rings, F.col("_half")).select(*polygons.columns)
+
+
 def contains_join(points: DataFrame, polygons: DataFrame, size: float = 0.25, border: bool = False) -> DataFrame:
     """points (lon, lat) inside polygons (rings)."""
     p = points.withColumn("_cx", geo.cell(F.col("lon"), size)).withColumn("_cy", geo.cell(F.col("lat"), size))
-    met = p.join(polygon_cells(polygons, size), ["_cx", "_cy"]).drop("_cx", "_cy")
+    met = p.join(clipped_cells(polygons, size), ["_cx", "_cy"]).drop("_cx", "_cy")
     return met.where(geo.contains(F.col("rings"), F.col("lon"), F.col("lat"), border)).drop("rings")
 
 

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import time
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,31 +20,44 @@ def _fs(spark: SparkSession, path: str):  # noqa: ANN202
     return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
 
 
-def publish(tables: dict[str, DataFrame], root: str) -> str:
-    """Writes a new version beside the live one, then makes it live by one small table that names it. Readers of the old version go on."""
+def publish(tables: dict[str, DataFrame], root: str, keep: int = 2) -> str:
+    """Writes a new version beside the live one, then makes all its tables live at once: the file LIVE, which names the version, is
+    written beside and renamed over the old one. Readers of the old version go on; versions before the last ``keep`` are deleted."""
     spark = next(iter(tables.values())).sparkSession
-    version = uuid.uuid4().hex
+    version = f"{time.time_ns():020d}-{uuid.uuid4().hex[:8]}"
     for name, df in tables.items():
-        writer = df.sortWithinPartitions("folded").write if "folded" in df.columns else df.write
+        # by mode first, as the writer sorts by the partition's column unless rows come so
+        writer = df.sortWithinPartitions("mode", "folded").write if {"mode", "folded"} <= set(df.columns) else df.write
         (writer.partitionBy("mode") if name in BY_MODE else writer).parquet(f"{root}/{version}/{name}")
-    fs, live = _fs(spark, f"{root}/LIVE")
-    made = spark._jvm.org.apache.hadoop.fs.Path(f"{root}/LIVE-{version}")
-    fs.create(made, True).close()
-    for old in fs.globStatus(spark._jvm.org.apache.hadoop.fs.Path(f"{root}/LIVE-*")) or []:
-        if old.getPath().getName() != made.getName():
-            fs.delete(old.getPath(), False)
+    jvm = spark._jvm
+    context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(jvm.java.net.URI.create(root), spark._jsc.hadoopConfiguration())
+    fs, made = _fs(spark, f"{root}/LIVE-{version}")
+    out = fs.create(made, True)
+    out.write(bytearray(version.encode()))
+    out.close()
+    options = spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
+    options[0] = jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
+    context.rename(made, jvm.org.apache.hadoop.fs.Path(f"{root}/LIVE"), options)
+    versions = sorted(s.getPath().getName() for s in fs.listStatus(jvm.org.apache.hadoop.fs.Path(root)) if s.isDirectory())
+    for old in versions[: -keep or None]:
+        if old != version:
+            fs.delete(jvm.org.apache.hadoop.fs.Path(f"{root}/{old}"), True)
     return version
 
 
 def live_version(spark: SparkSession, root: str) -> str | None:
-    fs, _ = _fs(spark, root)
-    found = fs.globStatus(spark._jvm.org.apache.hadoop.fs.Path(f"{root}/LIVE-*")) or []
-    newest = max(found, key=lambda s: (s.getModificationTime(), s.getPath().getName()), default=None)
-    return newest.getPath().getName().removeprefix("LIVE-") if newest else None
+    fs, live = _fs(spark, f"{root}/LIVE")
+    return spark.read.text(f"{root}/LIVE").first()["value"] if fs.exists(live) else None
+
+
+def live_tables(spark: SparkSession, root: str) -> Callable[[str], DataFrame]:
+    """A reader of the version that is live now: all tables it gives are of that one, whatever is published meanwhile."""
+    version = live_version(spark, root)
+    return lambda name: spark.read.parquet(f"{root}/{version}/{name}")
 
 
 def read_live(spark: SparkSession, root: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{root}/{live_version(spark, root)}/{name}")
+    return live_tables(spark, root)(name)
 
 
 def prewarm(df: DataFrame) -> DataFrame:

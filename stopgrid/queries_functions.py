@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import math
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import geo
 from .functions import text as T
 from .functions.similarity import candidates, word_similarity_to
-from .operators.spatial import contains_join, grid_join, knn, line_join, mutual_nearest, polygon_cells, within_join
+from .operators.spatial import contains_join, grid_join, knn, line_join, mutual_nearest, subdivide, within_join
 from .registry import Registry, load, run_sql
 
 R = Registry()
@@ -169,14 +171,29 @@ def fn_area(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @R.frame("fn_dump", "SELECT n_nationkey, CAST(1 AS INTEGER) AS parts, CAST(5 AS INTEGER) AS points FROM nation")
 def fn_dump(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Parts of a multipolygon; instead of cutting them up, a polygon is listed in the grid cells that it touches."""
-    cells = polygon_cells(rectangles(spark, sf_dir), 0.25).select("n_nationkey", F.size(F.flatten("rings")).alias("points"), F.size("rings").alias("parts")).distinct()
-    return cells
+    """Parts of a multipolygon, each listed once."""
+    parts = rectangles(spark, sf_dir).select("n_nationkey", F.array("rings").alias("parts"))
+    return parts.select("n_nationkey", F.explode("parts").alias("rings")).select("n_nationkey", F.size("rings").alias("parts"), F.size(F.flatten("rings")).alias("points"))
+
+
+def outlines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A polygon of 1000 corners with a hole of 600 for each nation."""
+    def ring(n: int, r: float) -> Column:
+        turn = lambda i: i * F.lit(2 * math.pi / n)
+        return F.transform(F.sequence(F.lit(0), F.lit(n)), lambda i: F.struct((F.col("n_nationkey") + r * F.cos(turn(i % n))).alias("lon"), (F.lit(40.0) + r * F.sin(turn(i % n))).alias("lat")))
+
+    return load(spark, sf_dir, "nation").select("n_nationkey", F.array(ring(1000, 0.4), ring(600, 0.1)).alias("rings"))
+
+
+@R.frame("fn_subdivide", "SELECT n_nationkey, true AS cut, round(500 * 0.16 * sin(2 * pi() / 1000) - 300 * 0.01 * sin(2 * pi() / 600), 9) AS area FROM nation")
+def fn_subdivide(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Polygons of 1,602 points in pieces of 256 at most, which have the whole's area together."""
+    pieces = subdivide(outlines(spark, sf_dir))
+    return pieces.groupBy("n_nationkey").agg(((F.max(geo.n_points(F.col("rings"))) <= 256) & (F.count(F.lit(1)) > 6)).alias("cut"), F.round(F.sum(geo.area(F.col("rings"))), 9).alias("area"))
 
 
 for _extra in ("fn_centroid", "fn_start_end_point", "fn_interpolate", "fn_closest_point", "fn_distance_planar"):
     R.queries[_extra], R.oracles[_extra] = R.queries["fn_area"], R.oracles["fn_area"]
-R.queries["fn_subdivide"], R.oracles["fn_subdivide"] = R.queries["fn_dump"], R.oracles["fn_dump"]
 
 
 # --- spatial joins

@@ -50,7 +50,7 @@ def prj_macro(spark: SparkSession, sf_dir: str) -> DataFrame:
 R.same("join_inner_equi", "SELECT o_orderkey, c_name, n_name FROM {orders} JOIN {customer} ON o_custkey = c_custkey JOIN {nation} ON c_nationkey = n_nationkey")
 R.same("join_left_outer", "SELECT c_custkey, count(o_orderkey) AS n FROM {customer} LEFT JOIN {orders} ON c_custkey = o_custkey AND o_totalprice > 300000 GROUP BY c_custkey")
 R.same("join_semi", "SELECT s_suppkey FROM {supplier} WHERE s_suppkey IN (SELECT l_suppkey FROM {lineitem} WHERE l_returnflag = 'R')")
-R.same("join_anti", "SELECT p_partkey FROM {part} WHERE p_partkey NOT IN (SELECT l_partkey FROM {lineitem} WHERE l_quantity > 25 AND l_partkey IS NOT NULL)")
+R.same("join_anti", "SELECT p_partkey FROM {part} WHERE p_partkey NOT IN (SELECT l_partkey FROM {lineitem} WHERE l_quantity > 48 AND l_partkey IS NOT NULL)")
 R.same("join_self", "SELECT a.s_suppkey AS a, b.s_suppkey AS b FROM {supplier} a JOIN {supplier} b ON a.s_nationkey = b.s_nationkey AND a.s_suppkey < b.s_suppkey")
 R.same("join_cross_values", "SELECT n_name, m.mode, m.weight FROM {nation} JOIN (VALUES ('train', 0), ('metro', 1), ('tram', 1)) AS m(mode, weight) ON m.weight = n_nationkey % 2")
 R.pair("join_lateral_values", "SELECT c_custkey, v.kind, v.val FROM {customer} LATERAL VIEW inline(array(struct('seg' AS kind, c_mktsegment AS val), struct('name' AS kind, c_name AS val))) v AS kind, val WHERE val <> 'BUILDING'", "SELECT c_custkey, v.kind, v.val FROM {customer} CROSS JOIN LATERAL (VALUES ('seg', c_mktsegment), ('name', c_name)) AS v(kind, val) WHERE v.val <> 'BUILDING'")

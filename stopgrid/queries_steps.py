@@ -11,7 +11,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import queries_chain as C
-from .functions import latin
+from .functions import geo, latin
+from .operators.spatial import subdivide
 from .operators.tables import fresh_path, written
 from .plans import adapters as A
 from .plans import publish as P
@@ -244,10 +245,20 @@ def st_city_overrides(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.city_overrides(raw["boundaries"], raw["overrides"])
 
 
-for _name in ("st_boundary_pieces", "st_cut_boundaries"):
-    R.frame(_name, f"SELECT relation_id, CAST(5 AS INTEGER) AS points FROM ({duck(A.RECTANGLES)})")(lambda spark, sf_dir: S.boundary_parts(A.boundaries(spark, sf_dir)).select("relation_id", F.size(F.flatten("rings")).alias("points")))
-for _name in ("st_country_shapes", "st_cut_countries"):
-    R.frame(_name, "SELECT 'FR' AS code, CAST(5 AS INTEGER) AS points")(lambda spark, sf_dir: S.country_shapes(A.raw(spark, sf_dir)["countries"]).select("code", F.size(F.flatten("rings")).alias("points")))
+R.frame("st_boundary_pieces", f"SELECT relation_id, CAST(5 AS INTEGER) AS points FROM ({duck(A.RECTANGLES)})")(lambda spark, sf_dir: S.boundary_parts(A.boundaries(spark, sf_dir)).select("relation_id", F.size(F.flatten("rings")).alias("points")))
+R.frame("st_country_shapes", "SELECT 'FR' AS code, CAST(5 AS INTEGER) AS points")(lambda spark, sf_dir: S.country_shapes(A.raw(spark, sf_dir)["countries"]).select("code", F.size(F.flatten("rings")).alias("points")))
+
+
+def cut(parts: DataFrame, key: str) -> DataFrame:
+    """Outlines in pieces of four corners at most, so that even rectangles, with a point added on each side, are cut."""
+    more = F.transform("rings", lambda r: F.flatten(F.transform(geo.segments(r), lambda s: F.array(s["a"], F.struct(((s["a"]["lon"] + s["b"]["lon"]) / 2).alias("lon"), ((s["a"]["lat"] + s["b"]["lat"]) / 2).alias("lat"))))))
+    closed = F.transform(more, lambda r: F.concat(r, F.slice(r, 1, 1)))
+    pieces = subdivide(parts.select(key, closed.alias("rings")), 7)
+    return pieces.groupBy(key).agg((F.count(F.lit(1)) > 1).alias("cut"), F.max(geo.n_points(F.col("rings"))).alias("points"), F.round(F.sum(geo.area(F.col("rings"))), 9).alias("area"))
+
+
+R.frame("st_cut_boundaries", f"SELECT relation_id, true AS cut, 7 AS points, round(w * h, 9) AS area FROM ({duck(A.RECTANGLES)})")(lambda spark, sf_dir: cut(S.boundary_parts(A.boundaries(spark, sf_dir)), "relation_id"))
+R.frame("st_cut_countries", "SELECT 'FR' AS code, true AS cut, 7 AS points, round(CAST(0.4 AS DOUBLE) * CAST(0.3 AS DOUBLE), 9) AS area")(lambda spark, sf_dir: cut(S.country_shapes(A.raw(spark, sf_dir)["countries"]), "code"))
 
 
 @R.frame("st_fold_column", "SELECT c_custkey, trim(regexp_replace(lower(c_name), '[^a-z0-9]+', ' ', 'g')) AS folded FROM customer")
@@ -284,7 +295,7 @@ def from_build(name: str, table: str, *columns: str, sql: str | None = None, upt
 
 from_build("st_polish_stops", "stops", "osm_id", "poles", sql="SELECT osm_id, false AS poles FROM st", upto="st")
 from_build("st_area_without_stop", "station_objects", "mode", "key", "osm_id", "is_primary", sql="SELECT mode, key, osm_id, is_primary FROM o6", upto="o6")
-from_build("st_stations", "stations", "station_id", "mode", "key", "name", "size(objects) AS n_objects", sql="SELECT station_id, mode, key, name, n_objects FROM stn", upto="stn")
+from_build("st_stations", "stations", "station_id", "mode", "key", "name", "size(objects) AS n_objects", sql="SELECT station_id, mode, key, name, CAST(n_objects AS INTEGER) AS n_objects FROM stn", upto="stn")
 R.frame("st_lift_ends", sql_of("SELECT station_id, station_key, lift_end, osm_id FROM stn WHERE osm_type = 'W'", "stn"))(lambda spark, sf_dir: built(spark, sf_dir)["stations"].where("osm_type = 'W'").select("station_id", "station_key", "lift_end", "osm_id"))
 from_build("st_station_keys", "stations", "station_id", "station_key", sql="SELECT station_id, station_key FROM stn", upto="stn")
 from_build("st_weights", "stations", "station_id", "round(weight, 6) AS weight", sql="SELECT station_id, round(weight + coalesce(2 * ln(1.0 + v.n), 0), 6) AS weight FROM stn LEFT JOIN serves v USING (mode, key)", upto="serves")
@@ -310,15 +321,13 @@ def st_platform_stops(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.platform_stops(b["stations"], b["station_objects"]).withColumns({c: F.round(c, 6) for c in ("lon", "lat")})
 
 
-@R.frame("st_publish")
+@R.frame("st_publish", sql_of("SELECT mode, 'stations' AS t, count(*) AS n FROM stn GROUP BY mode UNION ALL SELECT mode, 'station_objects', count(*) FROM o6 GROUP BY mode", "stn"))
 def st_publish(spark: SparkSession, sf_dir: str) -> DataFrame:
     b, root = built(spark, sf_dir), f"{fresh_path(spark, 'live')}-{uuid.uuid4().hex[:4]}"
     P.publish({k: b[k] for k in ("stations", "station_objects", "station_names", "rel_members", "route_stops", "line_routes")}, root)
-    out = None
-    for k in ("stations", "station_names"):
-        one = P.read_live(spark, root, k).groupBy("mode").agg(F.lit(k).alias("t"), F.count(F.lit(1)).alias("n"))
-        out = one if out is None else out.unionByName(one)
-    return out
+    live = P.live_tables(spark, root)
+    counted = lambda k: live(k).groupBy("mode").agg(F.lit(k).alias("t"), F.count(F.lit(1)).alias("n"))
+    return counted("stations").unionByName(counted("station_objects"))
 
 
 # --- serving

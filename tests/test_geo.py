@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from stopgrid.functions import geo
 from stopgrid.operators.graph import components
-from stopgrid.operators.spatial import contains_join, knn, line_join, within_join
+from stopgrid.operators.spatial import clipped_cells, contains_join, knn, line_join, subdivide, within_join
 
 
 def test_geodesic_published_values():
@@ -69,3 +69,32 @@ def test_components(spark):
     nodes = {x for e in edges if e[0] != e[1] for x in e}
     got = {r["node"]: r["label"] for r in components(spark.createDataFrame(edges, "u long, v long")).collect()}
     assert got == {x: find(x) for x in nodes}
+
+
+def star(n, r, x=2.0, y=48.0):
+    ring = [(x + (r if i % 2 else r * 0.7) * math.cos(2 * math.pi * i / n), y + (r if i % 2 else r * 0.7) * math.sin(2 * math.pi * i / n)) for i in range(n)]
+    return [*ring, ring[0]]
+
+
+def shoelace(rings):
+    each = [abs(sum(a[0] * b[1] - b[0] * a[1] for a, b in zip(r, r[1:], strict=False))) / 2 for r in rings]
+    return each[0] - sum(each[1:])
+
+
+def test_cut_polygons(spark):
+    """Outlines of many points, with holes: pieces keep the area, and points are found as in the whole."""
+    shapes = {1: [star(2000, 1.0), star(600, 0.3)], 2: [star(40, 0.5)], 3: [star(900, 0.2, 2.3, 48.4), star(300, 0.05, 2.3, 48.4)]}
+    poly = spark.createDataFrame(list(shapes.items()), "pid int, rings array<array<struct<lon:double,lat:double>>>")
+    pieces = subdivide(poly).select("pid", geo.area(F.col("rings")).alias("a"), geo.n_points(F.col("rings")).alias("n")).collect()
+    assert max(p["n"] for p in pieces) <= 256 and len(pieces) > 12
+    for pid, rings in shapes.items():
+        assert abs(sum(p["a"] for p in pieces if p["pid"] == pid) - shoelace(rings)) < 1e-9
+    rng = random.Random(9)
+    at = [(i, 2 + rng.uniform(-1.1, 1.1), 48 + rng.uniform(-1.1, 1.1)) for i in range(400)] + [(400 + i, 1.0 + 0.25 * i, 47.75) for i in range(9)]
+    points = spark.createDataFrame(at, "id int, lon double, lat double")
+    inside = lambda ring, x, y: sum((a[1] > y) != (b[1] > y) and x < (b[0] - a[0]) * (y - a[1]) / (b[1] - a[1]) + a[0] for a, b in zip(ring, ring[1:], strict=False)) % 2 == 1
+    want = {(i, pid) for i, x, y in at for pid, rings in shapes.items() if sum(inside(r, x, y) for r in rings) % 2 == 1}
+    got = [(r["id"], r["pid"]) for r in contains_join(points, poly).collect()]
+    assert len(got) == len(set(got)) and set(got) == want
+    longest = clipped_cells(poly.where("pid = 1"), 0.25).agg(F.max(geo.n_points(F.col("rings")))).first()[0]
+    assert longest < 700
