@@ -1,5 +1,5 @@
 """Sources, sinks, build steps and serving queries, over the adapters. SQL is given where the other engine can say the same; the others are
-held by tests to hand-made cases."""
+held by tests to hand-made cases (tests/test_steps.py, test_build_steps.py, test_serve.py)."""
 
 from __future__ import annotations
 
