@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .tables import written
 
 
-def components(edges: DataFrame) -> DataFrame:
+def components(edges: DataFrame, written: Callable[[DataFrame, str], DataFrame] = written) -> DataFrame:
     """edges: u, v. Returns node, label: the least node reachable, for every node with an edge to another.
 
     Each round takes the least label around and then that label's own label, so long chains shrink by halves. Each round is a table in

@@ -9,12 +9,16 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster names in spark.checkpoint.dir, or one of our own where it names none."""
+    """The folder that the cluster names in spark.checkpoint.dir; a temporary one of our own only where it names none and driver and executors are one machine."""
     sc = spark.sparkContext
     path = spark.conf.get("spark.checkpoint.dir", None)
     held = sc._jsc.sc().getCheckpointDir()
+    if not path and held.isDefined():
+        path = held.get()
     if not path:
-        path = held.get() if held.isDefined() else "file://" + tempfile.mkdtemp(prefix="stopgrid-")
+        if not sc.master.startswith("local[") and sc.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        path = "file://" + tempfile.mkdtemp(prefix="stopgrid-")
     if not held.isDefined():
         sc.setCheckpointDir(path)
     return path.rstrip("/")
