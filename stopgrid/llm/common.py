@@ -3,12 +3,12 @@
 from __future__ import annotations
 
 import gc
-import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators import tables
 from ..session import ship
 
 #: The ASCII white space that separates words: \x20 and \x09-\x0D.
@@ -16,16 +16,8 @@ SPACE = r"[\x20\x09-\x0D]+"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share, as the cluster names it; one of our own only where it names none."""
     ship(spark)
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        held = spark.sparkContext._jsc.sc().getCheckpointDir()
-        path = held.get() if held.isDefined() else None
-    if not path:
-        path = "file://" + tempfile.mkdtemp(prefix="stopgrid-")
-    spark.sparkContext.setCheckpointDir(path) if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined() else None
-    return path.rstrip("/")
+    return tables.shared_dir(spark)
 
 
 def written(df: DataFrame, name: str) -> DataFrame:

@@ -1,24 +1,13 @@
-"""Connected components of a graph whose edges are rows; nothing but a count of changes reaches the driver."""
+"""Connected components by the library's operator, with shuffle files freed after each round."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
+from ..operators import graph
 from .common import written
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """edges: u, v (long). Returns node, label: the least node reachable. Each round takes the least label around and then its label's label,
-    so long chains shrink by halves; each round is a table in the shared folder, from which lost executors' work is redone."""
-    both = edges.select("u", "v").where("u <> v")
-    both = written(both.unionByName(both.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct(), "edges")
-    labels = written(both.groupBy(F.col("u").alias("node")).agg(F.least(F.min("v"), F.col("node")).alias("label")), "labels")
-    while True:
-        around = both.join(labels, both["v"] == labels["node"]).groupBy(F.col("u").alias("node")).agg(F.min("label").alias("near"))
-        least = labels.join(around, "node").select("node", "label", F.least("label", "near").alias("now"))
-        above = labels.select(F.col("node").alias("now"), F.col("label").alias("up"))
-        moved = written(least.join(above, "now").select("node", F.least("now", "up").alias("label"), (F.col("label") != F.least("now", "up")).alias("changed")), "labels")
-        labels = moved.select("node", "label")
-        if not moved.where("changed").limit(1).count():
-            return labels
+    """edges: u, v (long). Returns node, label: the least node reachable."""
+    return graph.components(edges, written)
