@@ -6,11 +6,12 @@ texts. So rare words, which have no vector of their own, are still placed by the
 vectors beside the mean of its shapes' vectors. A network with one hidden layer gives a logit; its temperature is fitted on labelled
 texts that it hasn't learnt from.
 
-It learns from at most ``most_rows`` labelled rows (a documented bound), chosen by a hash of doc_id among the rows whose crc32
-(doc_id as text) modulo 4 is not 2; every row of the table is scored, over its whole text. The model (about 1 MB, whatever the
+It learns from at most ``most_rows`` labelled ids, one row of each, with at most ``most_chars`` characters together (documented bounds),
+chosen by a hash of doc_id among the rows whose crc32 (doc_id as text) modulo 4 is not 2; every row of the table is scored, over its whole text. The model (about 1 MB, whatever the
 input) goes to the workers; there is no shuffle of texts.
 
-Null texts count as empty; an empty text has the zero vector and a score like any other. Repeated labels of a document count by
+Null texts count as empty; an empty text has the zero vector and a score like any other, and so have very long ones; an empty table has
+no scores. Rows without doc_id are scored, and in no fold. Repeated labels of a document count by
 their mean; null labels are left out. Without labelled rows all scores are 0.5; with one class only, near that class.
 Rows are kept as they are, repeated ones too; lang, source, labels and other columns are not read for a score.
 """
@@ -24,9 +25,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 
+from .common import written
+
 DIM, VOCABULARY, SHAPES, NONZERO, HIDDEN = 32, 4096, 1024, 6, 32
 THRESHOLD = 0.7
 MARKS = re.compile(r"[^\w\s]+\Z")
@@ -167,18 +170,28 @@ def train(x: np.ndarray, y: np.ndarray, rng: np.random.Generator, epochs: int =
     return p
 
 
-def held_out() -> F.Column:
-    return F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2
+def held_out() -> Column:
+    """Whether the crc32 of the doc_id as text modulo 4 is 2; a row without doc_id is in no fold."""
+    return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def fit_on(docs: DataFrame, labels: DataFrame, most_rows: int = 4000) -> Model:
-    """Learns from at most ``most_rows`` labelled documents outside the held-out fold, taken in the order of a hash of doc_id."""
+def sample(docs: DataFrame, labels: DataFrame, most_rows: int, most_chars: int) -> list[Row]:
+    """doc_id, text, label: one row (the least text) for each of the first ``most_rows`` labelled ids in the order of a hash of doc_id,
+    as far as their texts have ``most_chars`` characters together. The driver gets no more than that."""
     known = labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull() & ~held_out()).groupBy("doc_id").agg((F.avg("quality") >= 0.5).cast("int").alias("label"))
-    chosen = known.orderBy(F.md5(F.col("doc_id").cast("string").cast("binary")), "doc_id").limit(most_rows).collect()
-    spark = docs.sparkSession
-    ids = spark.createDataFrame([(r[0], r[1]) for r in chosen], "doc_id long, label int")
-    rows = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").select("doc_id", "text", "label").collect()
-    rows.sort(key=lambda r: (r["doc_id"] * 2654435761 % 4294967296, r["doc_id"], r["text"] or ""))
+    place = F.md5(F.col("doc_id").cast("string").cast("binary"))
+    chosen = known.orderBy(place, "doc_id").limit(most_rows).collect()
+    ids = docs.sparkSession.createDataFrame([(r[0], r[1]) for r in chosen], "doc_id long, label int")
+    rows = written(docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").groupBy("doc_id", "label").agg(F.min("text").alias("text")), "labelled")
+    upto = F.sum(F.coalesce(F.length("text"), F.lit(0))).over(Window.orderBy(place, "doc_id").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    held = rows.select("doc_id", upto.alias("upto")).where(F.col("upto") <= most_chars).select("doc_id")
+    return rows.join(F.broadcast(held), "doc_id").select("doc_id", "text", "label").collect()
+
+
+def fit_on(docs: DataFrame, labels: DataFrame, most_rows: int = 4000, most_chars: int = 60_000_000) -> Model:
+    """Learns from at most ``most_rows`` labelled documents of ``most_chars`` characters together, outside the held-out fold."""
+    rows = sample(docs, labels, most_rows, most_chars)
+    rows.sort(key=lambda r: (r["doc_id"] * 2654435761 % 4294967296, r["doc_id"]))
     return fit([r["text"] for r in rows], [r["label"] for r in rows])
 
 
