@@ -1,15 +1,17 @@
 """Benchmark decontamination with suffix arrays over the training texts.
 
 Each shard (some million characters of whole documents) gets a word-level suffix array in the task that read it: the suffixes that
-begin with a word of the benchmark, as no other can match, sorted by their first words and narrowed word by word as far as a search
-goes on. Every test suffix is then binary-searched in every shard. From the places found come the words hit, the items and the
-longest verbatim match; documents over the limit are contaminated and can be removed in the same pass. There is no shuffle, and
-what a task holds is one shard and one block of test suffixes; the benchmark is sent in blocks of bounded size, whatever its size.
+begin with a word of the benchmark, as no other can match, sorted by their first words and, where a search goes on, by the next ones. Every
+test suffix, those at the ends of items too, is binary-searched in every shard for each of its lengths. From the places found come the
+words hit, the items and the longest verbatim match of each document (of one word too); documents over the limit are contaminated and
+can be removed in the same pass. There is no shuffle, and what a task holds is one shard and one block of test suffixes; the benchmark
+is sent in blocks of bounded size, whatever its size.
 
 Words are [0-9a-z] and all beyond ASCII, after lower-casing A-Z. A window is 13 consecutive words of an item; an item with fewer,
 but not none, is one window. A document's word inside an occurrence of a window is hit; a document is contaminated if it has hit
 words and they are at least a twentieth of its words. Null or empty texts have no words, and are never contaminated. Items without
-id count under the empty string; rows of an item that are repeated count once. Documents that are repeated are judged each.
+id count under the empty string; rows of an item that are repeated count once. Documents that are repeated are judged each; a very
+long one is a shard of its own. Empty tables give no rows, or no hits. Other columns, whatever their names, are not read, or carried through.
 """
 
 from __future__ import annotations
@@ -33,19 +35,23 @@ def words_of(text: str | None) -> list[bytes]:
 
 
 class Suffixes:
-    """A block of the benchmark: its vocabulary, and its windows by length with the items that have them."""
+    """A block of the benchmark: its vocabulary and its distinct suffixes (their first WINDOW words), with the items and places that have them."""
 
     def __init__(self, items: list[tuple[str, list[bytes]]]):
         self.ids = {w: i + 1 for i, w in enumerate(sorted({w for _, ws in items for w in ws}))}
         self.bits = max(1, len(self.ids).bit_length())
         self.per = max(1, min(WINDOW, 62 // self.bits))
-        owners: dict[int, dict[tuple[int, ...], list[tuple[str, int]]]] = {}
+        owners: dict[tuple[int, ...], list[tuple[str, int]]] = {}
         for item, ws in items:
             own = tuple(self.ids[w] for w in ws)
-            n = min(WINDOW, len(own))
-            for i in range(len(own) - n + 1 if n else 0):
-                owners.setdefault(n, {}).setdefault(own[i : i + n], []).append((item, i))
-        self.windows = {n: (np.array(sorted(d), dtype=np.int64), [d[k] for k in sorted(d)]) for n, d in owners.items()}
+            for i in range(len(own)):
+                # a suffix that is no window of its own (the end of a longer item) has no owner
+                owners.setdefault(own[i : i + WINDOW], []).extend([(item, i)] if i == 0 or i + WINDOW <= len(own) else [])
+        self.words = np.zeros((len(owners), WINDOW), np.int64)
+        self.length = np.array([len(k) for k in owners], np.int64)
+        for row, k in zip(self.words, owners, strict=True):
+            row[: len(k)] = k
+        self.owners = list(owners.values())
 
     def pack(self, columns: list[np.ndarray]) -> np.ndarray:
         key = np.zeros(len(columns[0]), np.int64)
@@ -53,25 +59,51 @@ class Suffixes:
             key = (key << self.bits) | c
         return key
 
-    def search(self, ids: np.ndarray) -> list[tuple[int, np.ndarray, list[tuple[str, int]]]]:
-        """ids: the shard's words, 0 for what ends a match, and at least WINDOW zeros at the end. Length, places and owners of each window found."""
-        start = np.flatnonzero(ids)
-        key = self.pack([ids[start + j] for j in range(self.per)])
-        order = np.argsort(key)
-        array, key = start[order], key[order]
+    def search(self, ids: np.ndarray) -> tuple[np.ndarray, list[tuple[int, np.ndarray, list[tuple[str, int]]]]]:
+        """ids: the shard's words, 0 for what ends a match, and at least WINDOW zeros at the end. Returns, for each place, how many words
+        from there on are also in the benchmark in that order (WINDOW at most), and length, places and owners of each window found.
+
+        The suffix array of the shard is made as deep as the searches go: all suffixes are sorted by as many words as a key packs, and
+        each test suffix is binary-searched for each of its lengths; the ranges in which longer ones may still be are then sorted by the
+        next words, all at once, and searched in the same way.
+        """
+        match = np.zeros(len(ids), np.int8)
         found = []
-        for n, (windows, owners) in self.windows.items():
-            m = min(n, self.per)
-            low = self.pack([windows[:, j] for j in range(m)])
-            free = self.bits * (self.per - m)
-            a, b = np.searchsorted(key, low << free), np.searchsorted(key, (low + 1) << free)
-            for k in np.flatnonzero(b > a):
-                at = array[a[k] : b[k]]
-                for j in range(m, n):
-                    at = at[ids[at + j] == windows[k, j]]
-                if len(at):
-                    found.append((n, at, owners[k]))
-        return found
+        array = np.flatnonzero(ids)
+        part = np.zeros(len(array), np.int64)  # which range of the level before a suffix is in
+        asked, asked_part, depth = np.arange(len(self.length)), np.zeros(len(self.length), np.int64), 0
+        while len(array) and len(asked):
+            width = min(self.per, WINDOW - depth)
+            key = self.pack([ids[array + depth + j] for j in range(width)])
+            distinct = np.unique(key)
+            size = len(distinct) + 1
+            code = part * size + np.searchsorted(distinct, key)
+            order = np.argsort(code, kind="stable")
+            array, code = array[order], code[order]
+            for n in range(1, width + 1):
+                fits = self.length[asked] >= depth + n
+                asked, asked_part = asked[fits], asked_part[fits]
+                free = self.bits * (width - n)
+                low = self.pack([self.words[asked, depth + j] for j in range(n)])
+                bound = lambda x: np.searchsorted(code, asked_part * size + np.searchsorted(distinct, x << free))  # noqa: B023, E731
+                a, b = bound(low), bound(low + 1)
+                met = b > a
+                asked, asked_part, a, b = asked[met], asked_part[met], a[met], b[met]
+                covered = np.zeros(len(array) + 1, np.int64)
+                np.add.at(covered, a, 1)
+                np.add.at(covered, b, -1)
+                match[array[np.cumsum(covered[:-1]) > 0]] = depth + n
+                for k in np.flatnonzero(self.length[asked] == depth + n):
+                    if self.owners[asked[k]]:
+                        found.append((depth + n, array[a[k] : b[k]], self.owners[asked[k]]))
+            depth += width
+            deeper = self.length[asked] > depth
+            asked, a, b = asked[deeper], a[deeper], b[deeper]
+            starts, asked_part = np.unique(a, return_inverse=True)
+            ends = b[np.unique(a, return_index=True)[1]]
+            part = np.repeat(np.arange(len(starts)), ends - starts)
+            array = array[np.repeat(starts - np.concatenate([[0], np.cumsum(ends - starts)[:-1]]), ends - starts) + np.arange(len(part))] if len(starts) else array[:0]
+        return match, found
 
 
 def blocks_of(benchmark: DataFrame, most_words: int = 1_000_000) -> list[Broadcast]:
@@ -110,11 +142,15 @@ def judge(texts: list[str | None], blocks: list[Broadcast]) -> list[tuple[int, l
     step = np.zeros(total + WINDOW + 1, np.int64)
     items: dict[int, set[str]] = {}
     places: dict[int, list[tuple[str, int, int, int]]] = {}
+    best = np.zeros(len(split), np.int64)
     for block in blocks:
         suffixes: Suffixes = block.value
         ids = np.zeros(total + WINDOW + 1, np.int64)
         ids[:total] = np.fromiter(chain.from_iterable(chain(map(suffixes.ids.get, ws, repeat(0)), (0,)) for ws in split), np.int64, total)
-        for n, at, owners in suffixes.search(ids):
+        match, windows = suffixes.search(ids)
+        if total:
+            best = np.maximum(best, np.maximum.reduceat(match[:total], starts))
+        for n, at, owners in windows:
             np.add.at(step, at, 1)
             np.add.at(step, at + n, -1)
             docs = np.searchsorted(ends, at, "right")
@@ -123,9 +159,6 @@ def judge(texts: list[str | None], blocks: list[Broadcast]) -> list[tuple[int, l
             if n == WINDOW:
                 for d, p in zip(docs.tolist(), at.tolist(), strict=True):
                     places.setdefault(d, []).extend((item, i, p, n) for item, i in owners)
-            else:
-                for d in np.unique(docs).tolist():
-                    places.setdefault(d, []).append((owners[0][0], 0, -n, n))
         if len(blocks) > 1:
             block._value = None
             del block._value
@@ -135,7 +168,7 @@ def judge(texts: list[str | None], blocks: list[Broadcast]) -> list[tuple[int, l
     for a, b in zip(edge[::2].tolist(), edge[1::2].tolist(), strict=True):
         d = int(np.searchsorted(ends, a, "right"))
         spans.setdefault(d, []).append((a - int(starts[d]), b - int(starts[d])))
-    return [(len(ws), spans.get(d, []), sorted(items.get(d, ())), longest(places.get(d, []))) for d, ws in enumerate(split)]
+    return [(len(ws), spans.get(d, []), sorted(items.get(d, ())), max(int(best[d]), longest(places.get(d, [])))) for d, ws in enumerate(split)]
 
 
 def is_contaminated(n_words: int, spans: list[tuple[int, int]]) -> bool:

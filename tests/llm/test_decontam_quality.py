@@ -24,7 +24,19 @@ def brute(text, items):
                 if w[j : j + n] == own[i : i + n]:
                     hit.update(range(j, j + n))
                     found.add("" if item is None else str(item))
-    return len(w), len(hit), sorted(found), bool(hit) and 20 * len(hit) >= len(w)
+    return len(w), len(hit), sorted(found), bool(hit) and 20 * len(hit) >= len(w), longest(w, [words(t) for _, t in items])
+
+
+def longest(w, items):
+    best = 0
+    for own in items:
+        for i in range(len(own)):
+            for j in range(len(w)):
+                n = 0
+                while i + n < len(own) and j + n < len(w) and own[i + n] == w[j + n]:
+                    n += 1
+                best = max(best, n)
+    return best
 
 
 def test_against_brute_force(spark, monkeypatch):
@@ -39,13 +51,13 @@ def test_against_brute_force(spark, monkeypatch):
             at = rng.randrange(len(w) + 1)
             w[at:at] = own
         docs.append((d, rng.choice([" ", ", ", "-"]).join(w).upper() if rng.random() < 0.3 else " ".join(w), 7))
-    docs += [(100, None, 7), (101, "", 7), (102, "w1 " * 3000, 7)]
+    docs += [(100, None, 7), (101, "", 7), (102, "w1 " * 900, 7)]
     df = spark.createDataFrame(docs, "doc_id long, text string, n_hit int")
     bench = spark.createDataFrame(items, "item_id long, text string")
     blocks = D.blocks_of
     for most in (1_000_000, 20):  # the second: many blocks
         monkeypatch.setattr(D, "blocks_of", lambda b, most=most: blocks(b, most))
-        got = {r["doc_id"]: (r["n_words"], r["n_hit"], r["items"], r["contaminated"]) for r in D.find_matches(df, bench).collect()}
+        got = {r["doc_id"]: (r["n_words"], r["n_hit"], r["items"], r["contaminated"], r["longest_match"]) for r in D.find_matches(df, bench).collect()}
         want = {d: brute(t, items) for d, t, _ in docs}
         assert got == want
         kept = D.decontaminate(df, bench)
@@ -73,3 +85,33 @@ def test_quality(spark):
     none = Q.fit_on(docs, labels.limit(0))
     assert {r["score"] for r in Q.score(docs.limit(3), none).collect()} == {0.5}
     assert Q.score(docs.limit(0), model).collect() == []
+
+
+def test_suffixes_deeper_than_a_key(spark):
+    """A vocabulary so large that a key packs a few words only: matches of every length are found."""
+    rng = random.Random(6)
+    items = [(i, " ".join(f"w{rng.randrange(3000)}" for _ in range(rng.randint(1, 40)))) for i in range(150)]
+    flat = [t.split() for _, t in items]
+    docs = []
+    for d in range(80):
+        w = [f"w{rng.randrange(3000)}" for _ in range(30)]
+        for _ in range(2):
+            own = rng.choice(flat)
+            i = rng.randrange(len(own))
+            w[10:10] = own[i : i + rng.randint(1, 20)]
+        docs.append((d, " ".join(w)))
+    got = {r["doc_id"]: (r["n_words"], r["n_hit"], r["items"], r["contaminated"], r["longest_match"]) for r in D.find_matches(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    want = {d: brute(t, items) for d, t in docs}
+    assert got == want and {x[4] for x in want.values()} > {5, 9, 13, 15}
+
+
+def test_fit_keeps_its_bounds(spark):
+    docs = spark.createDataFrame([(1, f"text {i}") for i in range(300)] + [(i, "word " * 50) for i in range(2, 60)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(1, 60)], "doc_id long, quality int, toxic int")
+    rows = Q.sample(docs, labels, 4000, 10**9)
+    ids = [r["doc_id"] for r in rows]
+    assert len(ids) == len(set(ids)) > 30 and all(Q.zlib.crc32(str(i).encode()) % 4 != 2 for i in ids)
+    assert len(Q.sample(docs, labels, 7, 10**9)) == 7
+    assert sum(len(r["text"]) for r in Q.sample(docs, labels, 4000, 1000)) <= 1000
+    scored = Q.score(spark.createDataFrame([(None, "x", 1.0), (3, "y " * 100000, 2.0)], "doc_id long, text string, score double"), Q.fit_on(docs, labels)).collect()
+    assert {r["doc_id"]: r["held_out"] for r in scored}[None] is False and len(scored) == 2
