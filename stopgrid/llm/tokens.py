@@ -4,15 +4,16 @@ For a byte-pair vocabulary, the tokens of a prefix end in the one token t for wh
 the two are encoded together; so count[end] = count[end - len(t)] + 1, and a table over the prefixes answers any question about
 truncation or budgets without encoding again. No piece of the vocabulary holds a space mark after another character, nor a line
 end, so the table begins anew at each such place: a text's table is the running sum over its chunks plus one chunk's own table.
-Equal chunks share their total (a bounded cache in each worker).
+Equal chunks share their table (a bounded store in each worker), which counts, truncation and budgets are all read from.
 
 Null texts are empty and have 0 tokens. Characters outside the vocabulary count one token for each UTF-8 byte. Strings of control
-tokens inside texts are ordinary text. Rows are kept as they are, repeated ones too; other columns are not read.
+tokens inside texts are ordinary text. Very long texts are tables like others; an empty table of documents gives an empty one. Rows are kept as they are, repeated ones too; other columns are not read.
 """
 
 from __future__ import annotations
 
 import re
+from array import array
 from bisect import bisect_right
 from collections.abc import Iterator
 from itertools import accumulate
@@ -40,13 +41,13 @@ def pieces_of(model_file: str) -> list[str]:
 
 
 class PrefixCounter(dict):
-    """chunk -> its number of tokens, the last entry of its table (a bounded cache)."""
+    """chunk -> its table: the number of tokens of each of its prefixes, the last entry that of the whole (a cache bounded in chunks and characters)."""
 
-    def __init__(self, pieces: list[str], most: int = 800_000):
+    def __init__(self, pieces: list[str], most: int = 600_000, most_chars: int = 8_000_000):
         super().__init__()
         self.rank = {p: i for i, p in enumerate(pieces)}
         self.width = max(map(len, pieces))
-        self.most = most
+        self.most, self.most_chars, self.chars = most, most_chars, 0
         self.split: dict[str, tuple[str, str] | None] = {}
         self.fits: dict[tuple[str, str], bool] = {}
         self.good = {p for p in pieces if len(p) == 1 or self.halves(p)}
@@ -100,17 +101,12 @@ class PrefixCounter(dict):
                     last.append(t)
                     break
 
-    def table(self, chunk: str) -> list[int]:
-        """The number of tokens of each of the chunk's prefixes."""
-        count, last = [0], [""]
-        self.extend(chunk, count, last)
-        return count[1:]
-
     def learn(self, chunks: set[str]) -> None:
-        """Adds what is missing, in sorted order: a chunk goes on from the prefix that it has in common with the one before."""
+        """Stores the tables that are missing, in sorted order: a chunk goes on from the prefix that it has in common with the one before."""
         new = sorted(chunks.difference(self))
-        if len(self) + len(new) > self.most:
+        if len(self) + len(new) > self.most or self.chars > self.most_chars:
             self.clear()
+            self.chars = 0
             new = sorted(chunks)
         before, count, last = "", [0], [""]
         for c in new:
@@ -119,7 +115,8 @@ class PrefixCounter(dict):
                 k += 1
             del count[k + 1 :], last[k + 1 :]
             self.extend(c, count, last)
-            self[c] = count[-1]
+            self[c] = bytes(count[1:]) if count[-1] < 256 else array("L", count[1:])
+            self.chars += len(c)
             before = c
 
     def chunks(self, text: str) -> list[str]:
@@ -128,8 +125,10 @@ class PrefixCounter(dict):
     def counts(self, text: str) -> list[int]:
         """The number of tokens of text[:k] for k = 0 to len(text)."""
         out, base = [0], 0
-        for c in self.chunks(text):
-            own = self.table(c)
+        parts = self.chunks(text)
+        self.learn(set(parts))
+        for c in parts:
+            own = self[c]
             out += [base + x for x in own]
             base += own[-1]
         return [0, *out[2:]] if text else [0]
@@ -140,17 +139,24 @@ class PrefixCounter(dict):
         self.learn(set().union(*split))
         out = []
         for text, parts in zip(texts, split, strict=True):
-            total = sum(map(self.__getitem__, parts))
-            keep = len(text)
-            if total > limit:
-                sums = list(accumulate(map(self.__getitem__, parts)))
-                k = bisect_right(sums, limit)
-                base, own = sums[k - 1] if k else 0, self.table(parts[k])
-                inner = max((i + 1 for i, x in enumerate(own) if base + x <= limit), default=0)
-                keep = max(0, sum(map(len, parts[:k])) + inner - 1)
-            out.append((total, keep))
+            total = sum([self[c][-1] for c in parts])
+            out.append((total, len(text) if total <= limit else self.longest(parts, limit)))
         return out
 
+    def longest(self, parts: list[str], limit: int) -> int:
+        """Characters of the longest prefix within the limit, from the stored tables: the chunk in which it ends, then the place in that chunk's table."""
+        sums = list(accumulate(self[c][-1] for c in parts))
+        k = bisect_right(sums, limit)
+        base = sums[k - 1] if k else 0
+        inner = max((i + 1 for i, x in enumerate(self[parts[k]]) if base + x <= limit), default=0) if k < len(parts) else 0
+        return max(0, sum(map(len, parts[:k])) + inner - 1)
+
+    def within(self, text: str, limits: list[int]) -> list[int]:
+        """For each limit, how many characters of the text fit it; the text is encoded by no question."""
+        parts = self.chunks(text)
+        self.learn(set(parts))
+        return [min(len(text), self.longest(parts, n)) for n in limits]
+
 
 def portions(texts: list[str], most: int = 2_000_000) -> Iterator[list[str]]:
     """The texts in order, in lists of about ``most`` characters."""
