@@ -15,8 +15,8 @@ Nothing is made for all pairs of a group:
 4. The components of the trees are those of the links: no link between different texts is lost.
 
 Empty texts and null have an empty set, no links and component_id = their own doc_id. Rows without doc_id belong to a component but
-never name it (component_id is null if no row has a doc_id). Repeated rows are kept, each with the same result. Other columns are not
-read, or carried through by ``one_of_each``.
+never name it (component_id is null if no row has a doc_id). Repeated rows are kept, each with the same result; equal texts are one class. A
+very long text is one set like others; an empty table gives an empty one. Other columns are not read, or carried through by ``one_of_each``.
 """
 
 from __future__ import annotations
@@ -32,7 +32,7 @@ from pyspark.broadcast import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import spare, written
 from .graph import components
 from .shingles import Words, shingle_set
 
@@ -343,11 +343,13 @@ def link_components(docs: DataFrame, threshold: Fraction = THRESHOLD, k: int = 4
 
 
 def one_of_each(docs: DataFrame, threshold: Fraction = THRESHOLD, k: int = 4) -> DataFrame:
-    """The documents with all their columns, one (the least doc_id, then the least text hash) for each component; rows without doc_id and rows of empty texts stay."""
-    found = link_components(docs, threshold, k)
+    """The documents with all their columns, whatever their names: one (the least doc_id, then the least text hash) for each component; rows
+    without doc_id and rows of empty texts stay. Equal rows of one doc_id count once."""
+    found = link_components(docs.select("doc_id", "text"), threshold, k)
+    d, r, row = spare(docs.columns, "_d", "_r", "_row")
     keep = found.where("n_shingles > 0 and doc_id is not null").groupBy("component_id").agg(F.min(F.struct("doc_id", "row")).alias("k"))
-    keep = keep.select(F.col("k.doc_id").alias("_d"), F.col("k.row").alias("_r"))
-    ided = docs.where("doc_id is not null").withColumn("_row", F.xxhash64("text"))
+    keep = keep.select(F.col("k.doc_id").alias(d), F.col("k.row").alias(r))
+    ided = docs.where("doc_id is not null").withColumn(row, F.xxhash64("text"))
     empty = F.coalesce(F.regexp_replace("text", r"[\x20\x09-\x0D]+", ""), F.lit("")) == ""
-    whole = ided.where(~empty).join(keep, (F.col("doc_id") == F.col("_d")) & (F.col("_row") == F.col("_r"))).dropDuplicates(["_d", "_r"]).select(*docs.columns)
+    whole = ided.where(~empty).join(keep, (F.col("doc_id") == F.col(d)) & (F.col(row) == F.col(r))).dropDuplicates([d, r]).select(*docs.columns)
     return whole.unionByName(docs.where(F.col("doc_id").isNull() | empty))

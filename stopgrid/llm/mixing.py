@@ -10,7 +10,7 @@ A leaf's share is read as whole epochs and the rest as a token-prefix of one mor
 Prefix sums are taken in two steps, over hash buckets of a leaf and inside a bucket, so no leaf is gathered in one task; the leaf's
 share reaches its documents by a salted join.
 
-Null domain, lang or source form leaves of their own (as empty strings). Null texts have 0 tokens; a document without tokens is as
+Very long texts count all their words; other columns, whatever their names, are not read. Null domain, lang or source form leaves of their own (as empty strings). Null texts have 0 tokens; a document without tokens is as
 often chosen as its epochs say. Repeated rows are chosen each. Weights of 0 or less, or unknown ones, give nothing. An empty table
 gives an empty result.
 """
@@ -30,6 +30,7 @@ DOMAIN = "coalesce(try_cast(regexp_extract(source, '([0-9]+)$', 1) as int) % 4,
 DOMAIN_WEIGHT = "case domain when '0' then 4.0 when '1' then 3.0 when '2' then 2.0 else 1.0 end"
 LANG_WEIGHT = "case when lang = 'en' then 2.0 else 1.0 end"
 SOURCE_WEIGHT = "1.0"
+WEIGHTS = {"domain": DOMAIN_WEIGHT, "lang": LANG_WEIGHT, "source": SOURCE_WEIGHT}
 SHARE, EPOCHS, SEED = 0.5, 2, "mix-1"
 
 
@@ -47,9 +48,9 @@ def hand_down(children: DataFrame, parent: list[str], key: str) -> DataFrame:
     return held.withColumn("share", F.floor(F.least(F.col("cap").cast("double"), F.col("weight") * level)).cast("long")).drop("level")
 
 
-def budgets(leaves: DataFrame, budget: DataFrame, epochs: int = EPOCHS) -> DataFrame:
-    """leaves: domain, lang, source, tokens. budget: one row, one column budget. Returns each leaf's tokens and share."""
-    weights = {"domain": DOMAIN_WEIGHT, "lang": LANG_WEIGHT, "source": SOURCE_WEIGHT}
+def budgets(leaves: DataFrame, budget: DataFrame, epochs: int = EPOCHS, weights: dict[str, str] = WEIGHTS) -> DataFrame:
+    """leaves: domain, lang, source, tokens. budget: one row, one column budget. weights: SQL over a level and those above it, a weight for
+    each child. Returns each leaf's tokens and share."""
     above = None
     for k, level in enumerate(LEVELS):
         parent = list(LEVELS[:k])
@@ -77,16 +78,17 @@ def choose(rows: DataFrame, leaves: DataFrame, seed: str = SEED) -> DataFrame:
     return upto.withColumn("copies", F.col("whole") + F.when(F.col("base") + F.col("upto") <= F.col("rest"), 1).otherwise(0)).where("copies > 0").select("doc_id", *leaf, "n_tokens", "copies")
 
 
-def mix(docs: DataFrame, share: float = SHARE, epochs: int = EPOCHS, seed: str = SEED) -> DataFrame:
+def mix(docs: DataFrame, share: float = SHARE, epochs: int = EPOCHS, seed: str = SEED, domain: str = DOMAIN, weights: dict[str, str] = WEIGHTS) -> DataFrame:
     """doc_id, domain, lang, source, n_tokens and copies (how often the document goes into the mix) of the documents chosen.
 
-    The budget is ``share`` of all tokens there are. Texts are read once and not shuffled.
+    The budget is ``share`` of all tokens there are. ``domain`` is SQL over a document's columns that says where in the tree its source
+    stands, ``weights`` SQL for the weight of a domain, language or source. Texts are read once and not shuffled.
     """
-    narrow = docs.select("doc_id", F.expr(f"cast({DOMAIN} as string)").alias("domain"), F.coalesce("lang", F.lit("")).alias("lang"), F.coalesce("source", F.lit("")).alias("source"), n_words(F.col("text")).alias("n_tokens"))
+    narrow = docs.select("doc_id", F.coalesce(F.expr(f"cast({domain} as string)"), F.lit("")).alias("domain"), F.coalesce("lang", F.lit("")).alias("lang"), F.coalesce("source", F.lit("")).alias("source"), n_words(F.col("text")).alias("n_tokens"))
     rows = written(narrow, "mix-rows")
     leaves = rows.groupBy(*LEVELS).agg(F.sum("n_tokens").alias("tokens"))
     budget = rows.agg(F.floor(F.coalesce(F.sum("n_tokens"), F.lit(0)) * F.lit(float(share))).cast("long").alias("budget"))
-    return choose(rows, budgets(leaves, budget, epochs), seed)
+    return choose(rows, budgets(leaves, budget, epochs, weights), seed)
 
 
 ORACLE = f"""

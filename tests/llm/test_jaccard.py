@@ -67,3 +67,16 @@ def test_rows_without_id_repeated_and_empty(spark):
     df = spark.createDataFrame([(None, "a b c d e"), (7, "a b c d e"), (7, "a b c d e"), (None, "only this one here")], schema)
     assert sorted(str(r["component_id"]) for r in J.link_components(df).collect()) == ["7", "7", "7", "None"]
     assert J.link_components(df.limit(0)).collect() == []
+
+
+def test_other_columns_with_names_of_ours(spark):
+    text = " ".join(f"w{i}" for i in range(30))
+    df = spark.createDataFrame([(2, text, "a", "b", 1, 5), (1, text, "c", "d", 2, 6), (None, text, "e", "f", 3, 7), (3, "", "g", "h", 4, 8), (4, None, "i", "j", 5, 9)], "doc_id long, text string, _d string, _r string, _row int, component_id int")
+    out = J.one_of_each(df)
+    assert out.columns == df.columns and {tuple(r) for r in out.collect()} == {tuple(r) for r in df.where("doc_id is null or doc_id <> 2").collect()}
+
+
+def test_a_very_long_text(spark):
+    long = " ".join(f"w{i % 5000}x{i // 7}" for i in range(60000))
+    df = spark.createDataFrame([(1, long), (2, long + " end"), (3, long[: len(long) // 2])], "doc_id long, text string")
+    assert {r["doc_id"]: r["component_id"] for r in J.link_components(df).collect()} == {1: 1, 2: 1, 3: 3}

@@ -79,3 +79,54 @@ def test_near_duplicate_stage_against_brute_force(spark):
     df = spark.createDataFrame(list(docs.items()), "doc_id long, text string")
     got = sorted(r["doc_id"] for r in C.ngram_jaccard_join(spark, df, "").collect())
     assert got == sorted(d for d in docs if root[d] == d)
+
+
+def test_mix_with_another_tree(spark):
+    docs = spark.createDataFrame([(i, "w " * 10, "en", f"s{i % 4}", "x") for i in range(80)], "doc_id long, text string, lang string, source string, weight string")
+    rows = M.mix(docs, share=0.25, epochs=1, domain="if(source in ('s0', 's1'), 'a', 'b')", weights={"domain": "if(domain = 'a', 1.0, 0.0)", "lang": "1.0", "source": "if(source = 's0', 3.0, 1.0)"}).collect()
+    tokens = {s: sum(r["n_tokens"] for r in rows if r["source"] == s) for s in ("s0", "s1", "s2", "s3")}
+    assert tokens == {"s0": 150, "s1": 50, "s2": 0, "s3": 0}
+
+
+def test_run_against_plain_code(spark, tmp_path):
+    """The whole pipeline over a small corpus: what each stage must drop and keep, and empty tables."""
+    import random
+
+    import corpus_pipeline as C
+
+    rng = random.Random(12)
+    syllables = ["an", "er", "the", "in", "ou", "st", "re", "mo", "li"]
+    prose = lambda n: " ".join("".join(rng.choices(syllables, k=rng.randint(1, 4))) for _ in range(n))
+    bench = [prose(25) for _ in range(3)]
+    rows = [(i, "\n".join(prose(40) for _ in range(3))) for i in range(300)]
+    rows += [(1000 + i, " ".join(w.upper() + "!!" for w in prose(60).split())) for i in range(100)]  # poor ones
+    rows += [(2000 + i, rows[i][1]) for i in range(10)]  # exact copies: all their lines are gone
+    near = rows[20][1].split()
+    rows += [(2100, " ".join(["changed", *near[1:]])), (2200, prose(30) + " " + bench[0]), (2201, rows[30][1].split("\n")[0] + "\n" + prose(50))]
+    docs = [(i, t, "en", f"src{i % 3}", len(t)) for i, t in rows]
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    for name, df in (
+        ("documents", spark.createDataFrame(docs, schema)),
+        ("labels", spark.createDataFrame([(i, int(not 1000 <= i < 1100), 0) for i, _ in rows], "doc_id long, quality int, toxic int")),
+        ("benchmark", spark.createDataFrame(list(enumerate(bench)), "item_id long, text string")),
+    ):
+        df.write.parquet(f"{tmp_path}/{name}.parquet")
+    out = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    kept = []
+    for _, stage in C.STAGES:
+        out = C.written(stage(spark, out, str(tmp_path)), "t")
+        kept.append({r["doc_id"]: r for r in out.collect()})
+    assert not [i for i in kept[0] if 1000 <= i < 1100] and len([i for i in kept[0] if i < 300]) > 290
+    assert not [i for i in kept[1] if 2000 <= i < 2010] and kept[1][2201]["text"].count("\n") == 0
+    assert kept[1][2201]["n_chars"] == len(kept[1][2201]["text"])
+    assert 2100 not in kept[2] and 20 in kept[2] and {i for i in kept[2] if i < 300} == {i for i in kept[1] if i < 300}
+    assert 2200 not in kept[3] and set(kept[2]) - set(kept[3]) == {2200}
+    total = sum(len(r["text"].split()) for r in kept[3].values())
+    mixed = kept[4].values()
+    assert 0.4 * total < sum(r["n_tokens"] * r["copies"] for r in mixed) <= 0.5 * total and set(kept[4]) <= set(kept[3])
+    assert sorted(map(str, C.run(spark, str(tmp_path)).collect())) == sorted(map(str, mixed))
+    nothing = spark.createDataFrame([], schema)
+    for _, stage in C.STAGES[:-1]:
+        nothing = stage(spark, nothing, str(tmp_path))
+        assert nothing.columns == schema.replace(" long", "").replace(" string", "").split(", ") and nothing.collect() == []
+    assert C.mixing_to_weights(spark, nothing, str(tmp_path)).collect() == []
