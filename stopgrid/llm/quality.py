@@ -46,7 +46,7 @@ def shape_of(word: str) -> str:
 class Keys(dict):
     """word -> its own hash (32 bits), its shape's number (9 bits) and its number in the vocabulary (12 bits); a bounded cache."""
 
-    def __init__(self, vocabulary: list[str], most: int = 400_000):
+    def __init__(self, vocabulary: list[str], most: int = 200_000):
         super().__init__()
         self.most = most
         self.known = {w: i + 1 for i, w in enumerate(vocabulary)}
@@ -176,16 +176,18 @@ def held_out() -> Column:
 
 
 def sample(docs: DataFrame, labels: DataFrame, most_rows: int, most_chars: int) -> list[Row]:
-    """doc_id, text, label: one row (the least text) for each of the first ``most_rows`` labelled ids in the order of a hash of doc_id,
+    """doc_id, text, label: one row (that of the least text hash) for each of the first ``most_rows`` labelled ids in the order of a hash of doc_id,
     as far as their texts have ``most_chars`` characters together. The driver gets no more than that."""
     known = labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull() & ~held_out()).groupBy("doc_id").agg((F.avg("quality") >= 0.5).cast("int").alias("label"))
     place = F.md5(F.col("doc_id").cast("string").cast("binary"))
     chosen = known.orderBy(place, "doc_id").limit(most_rows).collect()
     ids = docs.sparkSession.createDataFrame([(r[0], r[1]) for r in chosen], "doc_id long, label int")
-    rows = written(docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").groupBy("doc_id", "label").agg(F.min("text").alias("text")), "labelled")
-    upto = F.sum(F.coalesce(F.length("text"), F.lit(0))).over(Window.orderBy(place, "doc_id").rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    held = rows.select("doc_id", upto.alias("upto")).where(F.col("upto") <= most_chars).select("doc_id")
-    return rows.join(F.broadcast(held), "doc_id").select("doc_id", "text", "label").collect()
+    # texts stay where they are written; rows are chosen by numbers only
+    rows = written(docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").withColumn("row", F.monotonically_increasing_id()), "labelled")
+    one = rows.select("doc_id", F.coalesce(F.length("text"), F.lit(0)).alias("n"), F.xxhash64("text").alias("h"), "row").groupBy("doc_id").agg(F.min(F.struct("h", "row", "n")).alias("k"))
+    upto = F.sum("k.n").over(Window.orderBy(place, "doc_id").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    held = one.select(F.col("k.row").alias("row"), upto.alias("upto")).where(F.col("upto") <= most_chars).select("row")
+    return rows.join(F.broadcast(held), "row").select("doc_id", "text", "label").collect()
 
 
 def fit_on(docs: DataFrame, labels: DataFrame, most_rows: int = 4000, most_chars: int = 60_000_000) -> Model:

@@ -13,7 +13,7 @@ class Words(dict):
     """word (bytes) -> 64-bit hash; a bounded cache."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 500_000:
+        if len(self) > 200_000:
             self.clear()
         found = self[word] = xxhash.xxh3_64_intdigest(word)
         return found
