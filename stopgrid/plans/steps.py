@@ -18,6 +18,7 @@ from ..functions.maps import map_overlay
 from ..operators.graph import components
 from ..operators.rel import first_per, update_from
 from ..operators.spatial import contains_join, grid_join, line_join, mutual_nearest, near_polygons, within_join
+from ..operators.tables import written
 
 # Modes and the route types that are theirs; train services that are no lines; station= values that are no train station.
 ROUTE_MODES = (("metro", "subway"), ("metro", "light_rail"), ("metro", "monorail"), ("tram", "tram"), ("tram", "light_rail"), ("train", "train"))
@@ -182,7 +183,8 @@ def named_groups(objects: DataFrame, rels: DataFrame) -> DataFrame:
 
 
 def near_duplicates(named: DataFrame) -> DataFrame:
-    """mode, a, b: groups of one mode and name within 400 m."""
+    """mode, a, b: groups of one mode and name within 400 m. The names, which both sides read, are folded once."""
+    named = written(named, "named")
     return grid_join(named, named, ["mode", "name"], "x", "y", float(MERGE_M)).where("key < key_r").select("mode", F.col("key").alias("a"), F.col("key_r").alias("b"))
 
 

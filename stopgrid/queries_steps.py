@@ -201,7 +201,7 @@ def parts(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
 
 def objects_of(p: dict[str, DataFrame]) -> tuple[DataFrame, DataFrame]:
     groups = S.area_group(p["members"], p["stops"])
-    return S.station_objects(p["stops"], p["modes"], p["members"], groups), groups
+    return written(S.station_objects(p["stops"], p["modes"], p["members"], groups), "objects"), groups  # steps read it several times
 
 
 def step(name: str, body: str, upto: str) -> Callable[[Callable[[dict[str, DataFrame]], DataFrame]], None]:
