@@ -11,7 +11,7 @@ from . import steps as S
 
 def build(raw: dict[str, DataFrame]) -> dict[str, DataFrame]:
     stops = written(S.polish_stops(raw["stops"], raw["countries"]), "stops")
-    rels = raw["rels"]
+    rels = written(raw["rels"], "rels")
     members = written(S.rel_members(rels), "members")
     calls, lines = S.route_stops(members), S.line_routes(rels)
     groups = S.area_group(members, stops)

@@ -404,11 +404,12 @@ def lift_lines(st: DataFrame, line_ways: DataFrame, ski_areas: DataFrame) -> Dat
     """st of lifts and funiculars with line_name, lift_end, their place on the line, and ski_area, each change seen by the next."""
     lifts = st.where("mode in ('aerialway', 'funicular')")
     met = line_join(lifts.select("station_id", "mode", "lon", "lat"), line_ways.select("way_id", "kind", F.col("name").alias("way_name"), "path"), LIFT_LINE_M).where("kind = mode")
-    met = met.select("station_id", "way_id", "kind", "way_name", "path", "d", "near")
+    met = written(met.select("station_id", "way_id", "kind", "way_name", "path", "d", "near"), "lifts-met")  # each change below reads it
     single = met.groupBy("station_id").agg(F.min("way_name").alias("line_name"), F.countDistinct("way_name").alias("n")).where("n = 1").drop("n")
     st = update_from(st, single, ["station_id"], ["line_name"])
     alike = met.join(st.where("line_name is null").select("station_id", "name"), "station_id").where(T.search_fold(F.col("way_name")) == T.search_fold(F.col("name")))
     st = update_from(st, first_per(alike, ["station_id"], [F.col("d"), F.col("way_id")]).select("station_id", F.col("way_name").alias("line_name")), ["station_id"], ["line_name"])
+    st = written(st, "lifts-named")
     own = met.join(st.select("station_id", "mode", "name", "line_name", "lift_end", "lon", "lat"), "station_id").where("way_name = line_name")
     lift = st.where("mode = 'aerialway' and line_name is not null").select("station_id", "line_name", T.search_fold(F.col("name")).alias("folded"), "lon", "lat")
     twins = within_join(lift, lift.withColumnRenamed("station_id", "twin"), TWIN_M, ["line_name", "folded"]).where("twin_r <> station_id").select("station_id").distinct().withColumn("_twin", F.lit(True))

@@ -34,13 +34,14 @@ def duck(sql: str) -> str:
 
 # --- one build for each session and folder: steps and serving queries read the tables that it wrote
 _built: dict[tuple[str, str], dict[str, DataFrame]] = {}
+WRITTEN = ("rels", "stops", "stations", "station_objects", "rel_members")  # by the build itself
 
 
 def built(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _built:
         out = build(A.raw(spark, sf_dir))
-        _built[key] = {k: v if k in ("rels",) else written(v, f"built-{k}") for k, v in out.items()}
+        _built[key] = {k: v if k in WRITTEN else written(v, f"built-{k}") for k, v in out.items()}
     return _built[key]
 
 
