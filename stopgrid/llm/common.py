@@ -54,19 +54,26 @@ def spare(taken: list[str], *names: str) -> list[str]:
     return out
 
 
-def maybe_in(df: DataFrame, hashed: Column, keys: DataFrame, n: int) -> DataFrame:
-    """The rows of df whose hash may be among the n hashes of keys (one long column): none that is goes, and few others stay.
+def hinted(df: DataFrame, hashed: Column, keys: DataFrame, n: int, name: str) -> DataFrame:
+    """df with a boolean ``name``: whether a row's hash may be among the n hashes of keys (one long column). It is true for all that are, and for few others.
 
-    keys become a bitmap of about 16 bits for each, 16 MB at most (beyond, it only lets more rows stay), which is broadcast; so a join
+    keys become a bitmap of about 16 bits for each, 16 MB at most (beyond, it is only true for more rows), which is broadcast; so a join
     after it only moves rows that it needs.
     """
     bits = min(max(1 << (16 * n).bit_length(), 1 << 15), 1 << 27)
-    held = keys.select(F.pmod(F.col(keys.columns[0]), F.lit(bits)).alias("v")).groupBy(F.bitmap_bucket_number("v").alias("_bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("v")).alias("_bits"))
+    bucket, bitmap = spare([*df.columns, name], "_bucket", "_bits")
+    held = keys.select(F.pmod(F.col(keys.columns[0]), F.lit(bits)).alias("v")).groupBy(F.bitmap_bucket_number("v").alias(bucket)).agg(F.bitmap_construct_agg(F.bitmap_bit_position("v")).alias(bitmap))
     v = F.pmod(hashed, F.lit(bits))
     at = F.bitmap_bit_position(v)
-    byte = F.conv(F.hex(F.substr("_bits", (F.floor(at / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    byte = F.conv(F.hex(F.substr(bitmap, (F.floor(at / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
     is_set = F.call_function("shiftright", byte, F.pmod(at, F.lit(8)).cast("int")).bitwiseAND(1) == 1
-    return df.join(F.broadcast(held), F.bitmap_bucket_number(v) == F.col("_bucket")).where(is_set).drop("_bucket", "_bits")
+    return df.join(F.broadcast(held), F.bitmap_bucket_number(v) == F.col(bucket), "left").withColumn(name, F.coalesce(is_set, F.lit(False))).drop(bucket, bitmap)
+
+
+def maybe_in(df: DataFrame, hashed: Column, keys: DataFrame, n: int) -> DataFrame:
+    """The rows of df that are hinted."""
+    (hint,) = spare(df.columns, "_hint")
+    return hinted(df, hashed, keys, n, hint).where(F.col(hint)).drop(hint)
 
 
 def text_of(df: DataFrame) -> DataFrame:

@@ -22,7 +22,7 @@ from itertools import product
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_of
+from .common import hinted, text_of, written
 
 
 @dataclass(frozen=True)
@@ -173,7 +173,11 @@ def scan(df: DataFrame, rules: tuple[Rule, ...] = BASE + MORE) -> DataFrame:
             return reduce(lambda a, b: a | b, every)
 
         candidates = held.select(F.col("doc_id").alias("d"), F.col("row").alias("w"), F.array_compact(F.array(*(F.when(meets(r), F.lit(r.kind)) for r in indexed))).alias("kinds")).where(F.size("kinds") > 0)
-        joined = joined.join(candidates, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("row") == F.col("w")), "left")
+        # few texts are candidates of an indexed rule: only those meet the index again, the others stay where they are read
+        candidates = written(candidates, "candidates")
+        split = hinted(joined, F.col("row"), candidates.select("w"), candidates.count(), "may")
+        met = split.where("may").join(candidates, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("row") == F.col("w")), "left").select("doc_id", "text", "kinds")
+        joined = met.unionByName(split.where("not may").select("doc_id", "text", F.expr("cast(null as array<string>)").alias("kinds")))
     else:
         joined = joined.withColumn("kinds", F.expr("cast(null as array<string>)"))
     text, none = F.col("text"), F.expr("cast(array() as array<struct<start:int,end:int>>)")
@@ -188,6 +192,6 @@ def scan(df: DataFrame, rules: tuple[Rule, ...] = BASE + MORE) -> DataFrame:
 def report(found: DataFrame) -> DataFrame:
     """Counts of the base kinds, their digest, and all spans as text."""
     base = F.filter("found", lambda x: x["rank"] < len(BASE))
-    written = lambda a: F.array_join(F.transform(a, lambda x: F.concat_ws(":", x["kind"], x["start"], x["end"])), ",")
+    spelled = lambda a: F.array_join(F.transform(a, lambda x: F.concat_ws(":", x["kind"], x["start"], x["end"])), ",")
     count = lambda kind: F.size(F.filter("found", lambda x: x["kind"] == kind)).cast("long")
-    return found.select("doc_id", *(count(r.kind).alias(f"n_{r.kind}") for r in BASE), F.sha2(written(base), 256).alias("base_sha256"), written(F.col("found")).alias("spans"))
+    return found.select("doc_id", *(count(r.kind).alias(f"n_{r.kind}") for r in BASE), F.sha2(spelled(base), 256).alias("base_sha256"), spelled(F.col("found")).alias("spans"))
