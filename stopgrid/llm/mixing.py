@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import maybe_in, spare, written
 
 LEVELS = ("domain", "lang", "source")
 SALTS, DIGITS = 64, 2
@@ -75,22 +75,39 @@ def choose(rows: DataFrame, leaves: DataFrame, seed: str = SEED) -> DataFrame:
     sums = sums.withColumn("base", F.coalesce(F.sum("own").over(earlier), F.lit(0))).drop("own")
     inside = Window.partitionBy(*leaf, "bucket").orderBy("place", "doc_id", "n_tokens").rowsBetween(Window.unboundedPreceding, 0)
     upto = own.withColumn("upto", F.sum("n_tokens").over(inside)).join(sums, [*leaf, "bucket"])
-    return upto.withColumn("copies", F.col("whole") + F.when(F.col("base") + F.col("upto") <= F.col("rest"), 1).otherwise(0)).where("copies > 0").select("doc_id", *leaf, "n_tokens", "copies")
+    return upto.withColumn("copies", F.col("whole") + F.when(F.col("base") + F.col("upto") <= F.col("rest"), 1).otherwise(0)).where("copies > 0").select("doc_id", "row", *leaf, "n_tokens", "copies")
 
 
-def mix(docs: DataFrame, share: float = SHARE, epochs: int = EPOCHS, seed: str = SEED, domain: str = DOMAIN, weights: dict[str, str] = WEIGHTS) -> DataFrame:
-    """doc_id, domain, lang, source, n_tokens and copies (how often the document goes into the mix) of the documents chosen.
+def chosen(docs: DataFrame, share: float = SHARE, epochs: int = EPOCHS, seed: str = SEED, domain: str = DOMAIN, weights: dict[str, str] = WEIGHTS) -> DataFrame:
+    """doc_id, row (a hash of the text), domain, lang, source, n_tokens and copies (how often the document goes into the mix) of the documents chosen.
 
     The budget is ``share`` of all tokens there are. ``domain`` is SQL over a document's columns that says where in the tree its source
     stands, ``weights`` SQL for the weight of a domain, language or source. Texts are read once and not shuffled.
     """
-    narrow = docs.select("doc_id", F.coalesce(F.expr(f"cast({domain} as string)"), F.lit("")).alias("domain"), F.coalesce("lang", F.lit("")).alias("lang"), F.coalesce("source", F.lit("")).alias("source"), n_words(F.col("text")).alias("n_tokens"))
+    narrow = docs.select("doc_id", F.xxhash64("text").alias("row"), F.coalesce(F.expr(f"cast({domain} as string)"), F.lit("")).alias("domain"), F.coalesce("lang", F.lit("")).alias("lang"), F.coalesce("source", F.lit("")).alias("source"), n_words(F.col("text")).alias("n_tokens"))
     rows = written(narrow, "mix-rows")
     leaves = rows.groupBy(*LEVELS).agg(F.sum("n_tokens").alias("tokens"))
     budget = rows.agg(F.floor(F.coalesce(F.sum("n_tokens"), F.lit(0)) * F.lit(float(share))).cast("long").alias("budget"))
     return choose(rows, budgets(leaves, budget, epochs, weights), seed)
 
 
+def mix(docs: DataFrame, **how) -> DataFrame:  # noqa: ANN003
+    """doc_id, domain, lang, source, n_tokens and copies of the documents chosen; ``how`` as in ``chosen``."""
+    return chosen(docs, **how).drop("row")
+
+
+def mixed(docs: DataFrame, **how) -> DataFrame:  # noqa: ANN003
+    """The documents chosen, with all their columns and domain, n_tokens and copies (under names of their own where docs has such columns).
+    Equal rows of one doc_id are one row, with the copies of all. Only texts that may be chosen are dealt."""
+    d, r, domain, n, copies = spare(docs.columns, "_d", "_r", "domain", "n_tokens", "copies")
+    picked = chosen(docs, **how).groupBy(F.col("doc_id").alias(d), F.col("row").alias(r)).agg(F.min("domain").alias(domain), F.min("n_tokens").alias(n), F.sum("copies").alias(copies))
+    picked = written(picked, "picked")
+    (row,) = spare([*docs.columns, d, r, domain, n, copies], "_row")
+    near = maybe_in(docs.withColumn(row, F.xxhash64("text")), F.col(row), picked.select(r), picked.count())
+    joined = near.join(picked, F.col("doc_id").eqNullSafe(F.col(d)) & (F.col(row) == F.col(r)))
+    return joined.dropDuplicates([d, r]).drop(d, r, row)
+
+
 ORACLE = f"""
 WITH words AS (SELECT doc_id, CAST(coalesce(TRY_CAST(regexp_extract(source, '([0-9]+)$', 1) AS INTEGER) % 4, 4) AS VARCHAR) AS domain,
     coalesce(lang, '') AS lang, coalesce(source, '') AS source,

@@ -81,6 +81,17 @@ def test_near_duplicate_stage_against_brute_force(spark):
     assert got == sorted(d for d in docs if root[d] == d)
 
 
+def test_mixed_documents_keep_their_texts(spark):
+    schema = "doc_id long, text string, lang string, source string, copies string, _d int"
+    docs = spark.createDataFrame([(i, f"w{i} " * (i % 5 + 1), "en", f"s{i % 3}", "own", 1) for i in range(60)] + [(7, "other", "en", "s0", "own", 2), (8, None, None, None, None, None), (None, "no id", "en", "s1", "own", 3)] + [(500, "twice", "en", "s2", "own", 4)] * 2, schema)
+    short, out = M.mix(docs), M.mixed(docs)
+    assert out.columns == [*docs.columns, "domain", "n_tokens", "copies_"]
+    rows = out.collect()
+    assert sum(r["copies_"] * r["n_tokens"] for r in rows) == sum(r["copies"] * r["n_tokens"] for r in short.collect()) > 0
+    assert all(r["n_tokens"] == len((r["text"] or "").split()) for r in rows) and len({(r["doc_id"], r["text"]) for r in rows}) == len(rows)
+    assert {(r["doc_id"], r["text"]) for r in rows} <= {(r["doc_id"], r["text"]) for r in docs.collect()} and M.mixed(docs.limit(0)).collect() == []
+
+
 def test_mix_with_another_tree(spark):
     docs = spark.createDataFrame([(i, "w " * 10, "en", f"s{i % 4}", "x") for i in range(80)], "doc_id long, text string, lang string, source string, weight string")
     rows = M.mix(docs, share=0.25, epochs=1, domain="if(source in ('s0', 's1'), 'a', 'b')", weights={"domain": "if(domain = 'a', 1.0, 0.0)", "lang": "1.0", "source": "if(source = 's0', 3.0, 1.0)"}).collect()
@@ -124,6 +135,7 @@ def test_run_against_plain_code(spark, tmp_path):
     total = sum(len(r["text"].split()) for r in kept[3].values())
     mixed = kept[4].values()
     assert 0.4 * total < sum(r["n_tokens"] * r["copies"] for r in mixed) <= 0.5 * total and set(kept[4]) <= set(kept[3])
+    assert all(r["text"] == kept[3][d]["text"] for d, r in kept[4].items())
     assert sorted(map(str, C.run(spark, str(tmp_path)).collect())) == sorted(map(str, mixed))
     nothing = spark.createDataFrame([], schema)
     for _, stage in C.STAGES[:-1]:
