@@ -35,8 +35,8 @@ def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str)
 
 
 def mixing_to_weights(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """How often each chosen document goes into the mix."""
-    return mixing.mix(docs)
+    """The chosen documents with their texts, and how often each goes into the mix."""
+    return mixing.mixed(docs)
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
