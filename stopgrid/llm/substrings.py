@@ -2,11 +2,12 @@
 
 A window is 13 consecutive words of one document. The index is a row of sorted immutable runs, tables in the shared folder: a run has,
 for each bucket of fingerprints, the sorted distinct fingerprints of one batch of documents. A new batch, whose documents come after
-all those indexed, is merge-joined with the runs bucket by bucket; then its own fingerprints become a new run, and runs are compacted
-into one when there are more than MOST_RUNS.
+all those indexed, is merge-joined with the runs bucket by bucket; then its own new fingerprints become a run. A run that is not twice
+as long as the one after it is compacted with it, so there are few runs and a fingerprint is rewritten a few times only. Runs are tables
+bucketed by the bucket's number: the merge and the compaction of two runs read them where they are, without a shuffle.
 
-A fingerprint has two parts. Its search key is the least hash of the window's 6-word grams, so neighbouring windows share it and sorted
-keys pack small; a meeting of keys is verified by a second, independent hash of all 13 words (88 bits in all). A batch's windows
+A fingerprint has two parts. Its search key (48 bits) is the least hash of the window's 6-word grams, so neighbouring windows share it
+and sorted keys pack small; a meeting of keys is verified by a 64-bit hash of all 13 words in their order. A batch's windows
 are judged together by segments of doc_ids: a segment sends each bucket its distinct fingerprints only, so a passage that a third of
 all documents share costs a row for each segment and not for each document; which document of a segment comes first is settled
 inside it. The answer is one bit for each fingerprint sent, in the order in which it was sent, and the segment works its
@@ -20,9 +21,11 @@ words). Other columns are not read, or carried through.
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import uuid
 from collections.abc import Iterator
+from typing import Any
 
 import numpy as np
 import pandas as pd
@@ -30,16 +33,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import shared_dir, tasks_of
+from .common import release, shared_dir, tasks_of
 from .shingles import ODD, WORDS, Words, mixed, windows, words_of
 
-WINDOW, GRAM, SEGMENT, MOST_RUNS = 13, 6, 1024, 4
-CHECK_BITS = 40
+WINDOW, GRAM, SEGMENT = 13, 6, 1024
+CHECK_BITS = 64
 LAST = 2**62
 
 
 def fingerprints(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Search key (48 bits) and check (40 bits) of each window of a document, given its words' hashes."""
+    """Search key (48 bits) and check (64 bits) of each window of a document, given its words' hashes."""
     grams = windows(h, GRAM) >> np.uint64(16)
     n = len(h) - WINDOW + 1
     key = grams[:n].copy()
@@ -148,42 +151,83 @@ def merge(pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=["segment", "bucket", "packed"])
 
 
-def compacted(pdf: pd.DataFrame) -> pd.DataFrame:
-    parts = [unpack(p) for p in pdf["packed"]]
-    key, check = distinct(np.concatenate([k for k, _ in parts]), np.concatenate([c for _, c in parts]))
-    return pd.DataFrame({"segment": [-1], "bucket": [int(pdf["bucket"].iloc[0])], "packed": [pack(key, check)]})
+def met(batch: pd.DataFrame, runs: pd.DataFrame) -> pd.DataFrame:
+    """One bucket of a batch, merged with the same bucket of the runs; a bucket that the batch has nothing in has no answers and no new run."""
+    return merge(pd.concat([batch, runs], ignore_index=True)) if len(batch) else batch
+
+
+def compacted(older: pd.DataFrame, newer: pd.DataFrame) -> pd.DataFrame:
+    """One bucket of two runs as one. They have no fingerprint in common, and both are sorted, which the stable sort makes use of."""
+    both = pd.concat([older, newer], ignore_index=True)
+    if len(both) < 2:
+        return both
+    parts = [unpack(p) for p in both["packed"]]
+    key, check = np.concatenate([k for k, _ in parts]), np.concatenate([c for _, c in parts])
+    order = np.argsort(key, kind="stable")
+    return pd.DataFrame({"segment": [-1], "bucket": [int(both["bucket"].iloc[0])], "packed": [pack(key[order], check[order])]})
 
 
 SENT = "segment long, bucket int, packed binary"
 
 
 class FingerprintIndex:
-    """The runs of all batches so far. Batches must come in the order of doc_id."""
+    """The runs of all batches so far. Batches must come in the order of doc_id.
+
+    A run is a Parquet table in the shared folder, bucketed by bucket; the session's catalog has an entry for it until ``close``.
+    """
 
     def __init__(self, spark: SparkSession, buckets: int | None = None, path: str | None = None):
         self.spark, self.buckets = spark, buckets or tasks_of(spark)
         self.path = path or f"{shared_dir(spark)}/windows-{uuid.uuid4().hex}"
         self.runs: list[str] = []
+        self.compactions = 0
+
+    def write(self, rows: DataFrame) -> str:
+        name = f"windows_{uuid.uuid4().hex}"
+        kind = F.when(F.col("segment") < 0, "run").otherwise("answer")
+        rows.withColumn("kind", kind).write.partitionBy("kind").bucketBy(self.buckets, "bucket").option("path", f"{self.path}/{name}").saveAsTable(name)
+        release(self.spark)
+        return name
+
+    def run(self, *names: str) -> DataFrame:
+        """The runs' fingerprints; those of one run are dealt by bucket as they are stored."""
+        found = [self.spark.table(n).where("kind = 'run'").drop("kind") for n in names]
+        return functools.reduce(DataFrame.unionByName, found)
+
+    def folder(self, name: str) -> tuple[Any, Any]:
+        """The file system and the folder of a run's fingerprints."""
+        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}/kind=run")
+        return path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), path
 
-    def read(self, paths: list[str]) -> DataFrame:
-        return self.spark.read.schema(SENT).parquet(*paths)
+    def length(self, name: str) -> int:
+        fs, path = self.folder(name)
+        return fs.getContentSummary(path).getLength() if fs.exists(path) else 0
 
     def add(self, docs: DataFrame) -> DataFrame:
         """docs: segment, id, text. Indexes them; returns the answers (segment, bucket, bits) of those segments that meet earlier windows."""
-        batch = sent(docs, self.buckets)
-        if self.runs:
-            batch = batch.unionByName(self.read(self.runs).where("segment = -1"))
-        path = f"{self.path}/run-{uuid.uuid4().hex}"
-        batch.groupBy("bucket").applyInPandas(merge, SENT).write.parquet(path)
-        self.runs.append(path)
-        if len(self.runs) > MOST_RUNS:
+        batch = sent(docs, self.buckets).groupBy("bucket")
+        found = batch.cogroup(self.run(*self.runs).groupBy("bucket")).applyInPandas(met, SENT) if self.runs else batch.applyInPandas(merge, SENT)
+        name = self.write(found)
+        self.runs.append(name)
+        while len(self.runs) > 1 and self.length(self.runs[-2]) < 2 * self.length(self.runs[-1]):
             self.compact()
-        return self.read([path]).where("segment >= 0")
+        return self.spark.read.schema(f"{SENT}, kind string").parquet(f"{self.path}/{name}").where("kind = 'answer'").drop("kind")
 
     def compact(self) -> None:
-        path = f"{self.path}/run-{uuid.uuid4().hex}"
-        self.read(self.runs).where("segment = -1").groupBy("bucket").applyInPandas(compacted, SENT).write.parquet(path)
-        self.runs = [path]
+        """The last two runs become one; their own fingerprints (not the answers) are deleted once it is written."""
+        older, newer = self.runs[-2:]
+        name = self.write(self.run(older).groupBy("bucket").cogroup(self.run(newer).groupBy("bucket")).applyInPandas(compacted, SENT))
+        self.runs[-2:] = [name]
+        self.compactions += 1
+        for old in (older, newer):
+            fs, path = self.folder(old)
+            fs.delete(path, True)
+            self.spark.sql(f"DROP TABLE {old}")
+
+    def close(self) -> None:
+        """Forgets the catalog's entries; the files stay."""
+        for name in self.runs:
+            self.spark.sql(f"DROP TABLE {name}")
 
 
 def numbered(docs: DataFrame) -> DataFrame:
@@ -244,6 +288,7 @@ def dedup_substrings(docs: DataFrame, batches: int = 2) -> DataFrame:
             part = part.where(F.col("segment") < cuts[i])
         own = index.add(part.select("segment", "id", "text"))
         answers = own if answers is None else answers.unionByName(own)
+    index.close()
     buckets = index.buckets
     names = ["doc_id", "n_words", "n_removed", "kept_sha256", "kept"]
 

@@ -50,6 +50,32 @@ def test_against_brute_force(spark, monkeypatch):
         assert got == brute(rows)
 
 
+def test_runs_are_merged_where_they_are_and_compacted(spark, monkeypatch):
+    monkeypatch.setattr(S, "SEGMENT", 64)
+    rows = S.numbered(spark.createDataFrame(corpus(), "doc_id long, text string")).select("segment", "id", "text")
+    index = S.FingerprintIndex(spark)
+    cuts = [0, 4000, 7000, 7500, 10000]
+    for a, b in zip(cuts, cuts[1:], strict=False):
+        index.add(rows.where(f"id >= {a} and id < {b}")).count()
+        lengths = [index.length(n) for n in index.runs]
+        assert all(a >= 2 * b for a, b in zip(lengths, lengths[1:], strict=False))
+    assert index.compactions >= 1
+    held = [S.unpack(r["packed"]) for r in index.run(*index.runs).collect()]
+    want = set()
+    for _, text in [(d, t) for d, t in corpus() if d is not None and 0 <= d < 10000]:
+        ws = S.words_of(text, False)
+        if len(ws) >= S.WINDOW:
+            want |= set(zip(*(x.tolist() for x in S.fingerprints(S.Words().of(ws))), strict=True))
+    got = [p for k, c in held for p in zip(k.tolist(), c.tolist(), strict=True)]
+    assert len(got) == len(set(got)) and set(got) == want
+    merged = S.sent(rows, index.buckets).groupBy("bucket").cogroup(index.run(index.runs[0]).groupBy("bucket")).applyInPandas(S.met, S.SENT)
+    plan = merged._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and "Bucketed: true" in plan
+    names = list(index.runs)
+    index.close()
+    assert not any(spark.catalog.tableExists(n) for n in names)
+
+
 def test_empty(spark):
     assert S.dedup_substrings(spark.createDataFrame([], "doc_id long, text string")).collect() == []
 
