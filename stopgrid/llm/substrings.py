@@ -7,7 +7,7 @@ as long as the one after it is compacted with it, so there are few runs and a fi
 bucketed by the bucket's number: the merge and the compaction of two runs read them where they are, without a shuffle.
 
 A fingerprint has two parts. Its search key (48 bits) is the least hash of the window's 6-word grams, so neighbouring windows share it
-and sorted keys pack small; a meeting of keys is verified by a 64-bit hash of all 13 words in their order. A batch's windows
+and sorted keys pack small; a meeting of keys is verified by a 56-bit hash of all 13 words in their order. A batch's windows
 are judged together by segments of doc_ids: a segment sends each bucket its distinct fingerprints only, so a passage that a third of
 all documents share costs a row for each segment and not for each document; which document of a segment comes first is settled
 inside it. The answer is one bit for each fingerprint sent, in the order in which it was sent, and the segment works its
@@ -30,19 +30,21 @@ from typing import Any
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import release, shared_dir, tasks_of
 from .shingles import ODD, WORDS, Words, mixed, windows, words_of
 
 WINDOW, GRAM, SEGMENT = 13, 6, 1024
-CHECK_BITS = 64
+CHECK_BITS = 56
+#: Buckets for each task of a shuffle, so that one bucket is a small part of what a task has, and parts in which two runs are compacted.
+BUCKETS, SLICES = 8, 4
 LAST = 2**62
 
 
 def fingerprints(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Search key (48 bits) and check (64 bits) of each window of a document, given its words' hashes."""
+    """Search key (48 bits) and check (56 bits) of each window of a document, given its words' hashes."""
     grams = windows(h, GRAM) >> np.uint64(16)
     n = len(h) - WINDOW + 1
     key = grams[:n].copy()
@@ -177,26 +179,25 @@ class FingerprintIndex:
     """
 
     def __init__(self, spark: SparkSession, buckets: int | None = None, path: str | None = None):
-        self.spark, self.buckets = spark, buckets or tasks_of(spark)
+        self.spark, self.buckets = spark, buckets or BUCKETS * tasks_of(spark)
         self.path = path or f"{shared_dir(spark)}/windows-{uuid.uuid4().hex}"
         self.runs: list[str] = []
         self.compactions = 0
 
-    def write(self, rows: DataFrame) -> str:
-        name = f"windows_{uuid.uuid4().hex}"
+    def write(self, rows: DataFrame, name: str) -> None:
         kind = F.when(F.col("segment") < 0, "run").otherwise("answer")
-        rows.withColumn("kind", kind).write.partitionBy("kind").bucketBy(self.buckets, "bucket").option("path", f"{self.path}/{name}").saveAsTable(name)
+        parts = rows.withColumns({"kind": kind, "slice": F.col("bucket") % SLICES})
+        parts.write.partitionBy("kind", "slice").bucketBy(tasks_of(self.spark), "bucket").option("path", f"{self.path}/{name}").mode("append").saveAsTable(name)
         release(self.spark)
-        return name
 
-    def run(self, *names: str) -> DataFrame:
-        """The runs' fingerprints; those of one run are dealt by bucket as they are stored."""
-        found = [self.spark.table(n).where("kind = 'run'").drop("kind") for n in names]
+    def run(self, *names: str, part: Column | None = None) -> DataFrame:
+        """The runs' fingerprints, or some slices of them; those of one run are dealt by bucket as they are stored."""
+        found = [self.spark.table(n).where("kind = 'run'").where(F.lit(True) if part is None else part).drop("kind", "slice") for n in names]
         return functools.reduce(DataFrame.unionByName, found)
 
-    def folder(self, name: str) -> tuple[Any, Any]:
+    def folder(self, name: str, below: str = "") -> tuple[Any, Any]:
         """The file system and the folder of a run's fingerprints."""
-        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}/kind=run")
+        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}/kind=run{below}")
         return path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), path
 
     def length(self, name: str) -> int:
@@ -207,21 +208,27 @@ class FingerprintIndex:
         """docs: segment, id, text. Indexes them; returns the answers (segment, bucket, bits) of those segments that meet earlier windows."""
         batch = sent(docs, self.buckets).groupBy("bucket")
         found = batch.cogroup(self.run(*self.runs).groupBy("bucket")).applyInPandas(met, SENT) if self.runs else batch.applyInPandas(merge, SENT)
-        name = self.write(found)
+        name = f"windows_{uuid.uuid4().hex}"
+        self.write(found, name)
         self.runs.append(name)
         while len(self.runs) > 1 and self.length(self.runs[-2]) < 2 * self.length(self.runs[-1]):
             self.compact()
-        return self.spark.read.schema(f"{SENT}, kind string").parquet(f"{self.path}/{name}").where("kind = 'answer'").drop("kind")
+        return self.spark.read.schema(f"{SENT}, kind string, slice int").parquet(f"{self.path}/{name}").where("kind = 'answer'").drop("kind", "slice")
 
     def compact(self) -> None:
-        """The last two runs become one; their own fingerprints (not the answers) are deleted once it is written."""
+        """The last two runs become one, slice by slice; a slice of theirs (not the answers) is deleted once it is written anew."""
         older, newer = self.runs[-2:]
-        name = self.write(self.run(older).groupBy("bucket").cogroup(self.run(newer).groupBy("bucket")).applyInPandas(compacted, SENT))
+        name = f"windows_{uuid.uuid4().hex}"
+        for i in range(SLICES):
+            part = F.col("slice") == i
+            both = self.run(older, part=part).groupBy("bucket").cogroup(self.run(newer, part=part).groupBy("bucket"))
+            self.write(both.applyInPandas(compacted, SENT), name)
+            for old in (older, newer):
+                fs, path = self.folder(old, f"/slice={i}")
+                fs.delete(path, True)
         self.runs[-2:] = [name]
         self.compactions += 1
         for old in (older, newer):
-            fs, path = self.folder(old)
-            fs.delete(path, True)
             self.spark.sql(f"DROP TABLE {old}")
 
     def close(self) -> None:

@@ -84,7 +84,7 @@ def test_packing_round_trip():
     import numpy as np
 
     rng = np.random.default_rng(1)
-    k, c = S.distinct(rng.integers(0, 1 << 48, 5000, dtype=np.uint64), rng.integers(0, 1 << 40, 5000, dtype=np.uint64))
+    k, c = S.distinct(rng.integers(0, 1 << 48, 5000, dtype=np.uint64), rng.integers(0, 1 << S.CHECK_BITS, 5000, dtype=np.uint64))
     a, b = S.unpack(S.pack(k, c))
     assert (a == k).all() and (b == c).all()
     assert len(S.unpack(S.pack(k[:0], c[:0]))[0]) == 0
