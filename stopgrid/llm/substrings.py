@@ -78,12 +78,33 @@ def unpack(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
     return np.cumsum(step.view("<u8").ravel(), dtype=np.uint64), check.view("<u8").ravel()
 
 
+def in_order(key: np.ndarray, check: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The order by key and check, equal ones in any order, and whether each in that order is the first of its equals."""
+    start = (key << np.uint64(16)) | (check >> np.uint64(CHECK_BITS - 16))
+    order = np.argsort(start)
+    start, end = start[order], check[order]
+    alike = start[1:] == start[:-1]
+    unlike = alike & (end[1:] != end[:-1])
+    if unlike.any():  # equal in the first 64 bits only: those few are sorted by all
+        group = np.cumsum(np.append(True, ~alike)) - 1
+        again = np.zeros(group[-1] + 1, bool)
+        again[group[1:][unlike]] = True
+        at = np.flatnonzero(again[group])
+        order[at] = order[at[np.lexsort((end[at], group[at]))]]
+        end = check[order]
+    new = np.ones(len(order), bool)
+    new[1:] = ~alike | (end[1:] != end[:-1])
+    return order, new
+
+
+def least(values: np.ndarray, new: np.ndarray) -> np.ndarray:
+    """The least of the values of each group of equals."""
+    return np.minimum.reduceat(values, np.flatnonzero(new)) if len(values) else values
+
+
 def distinct(key: np.ndarray, check: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    order = np.lexsort((check, key))
-    key, check = key[order], check[order]
-    new = np.ones(len(key), bool)
-    new[1:] = (key[1:] != key[:-1]) | (check[1:] != check[:-1])
-    return key[new], check[new]
+    order, new = in_order(key, check)
+    return key[order[new]], check[order[new]]
 
 
 class Segment:
@@ -98,13 +119,10 @@ class Segment:
         self.key = np.concatenate([k for _, k, _ in parts] or [np.zeros(0, np.uint64)])
         self.check = np.concatenate([c for _, _, c in parts] or [np.zeros(0, np.uint64)])
 
-    def later_here(self, order: np.ndarray) -> np.ndarray:
-        """In the given order (by key, check, doc): whether a smaller document of the segment has the same window."""
-        k, c, d = self.key[order], self.check[order], self.doc[order]
-        new = np.ones(len(k), bool)
-        new[1:] = (k[1:] != k[:-1]) | (c[1:] != c[:-1])
-        first = d[np.maximum.accumulate(np.where(new, np.arange(len(k)), 0))]
-        return d > first
+    def later_here(self, order: np.ndarray, new: np.ndarray) -> np.ndarray:
+        """In the given order (by key and check): whether a smaller document of the segment has the same window."""
+        d = self.doc[order]
+        return d > least(d, new)[np.cumsum(new) - 1]
 
 
 def sent(docs: DataFrame, buckets: int) -> DataFrame:
@@ -135,21 +153,27 @@ def merge(pdf: pd.DataFrame) -> pd.DataFrame:
     key = np.concatenate([k for _, k, _ in parts])
     check = np.concatenate([c for _, _, c in parts])
     seg = np.repeat(np.array([s for s, _, _ in parts], np.int64), [len(k) for _, k, _ in parts])
-    order = np.lexsort((seg, check, key))
-    key, check, seg = key[order], check[order], seg[order]
-    new = np.ones(len(key), bool)
-    new[1:] = (key[1:] != key[:-1]) | (check[1:] != check[:-1])
-    earlier = seg > seg[np.maximum.accumulate(np.where(new, np.arange(len(key)), 0))]
-    fresh = new & (seg >= 0)
+    order, new = in_order(key, check)
+    first = least(seg[order], new)
+    fresh = order[new][first >= 0]
     run = pack(key[fresh], check[fresh])
-    own = new | (seg != np.roll(seg, 1))  # a segment read by several tasks may send a fingerprint twice
-    seg, earlier = seg[own], earlier[own]
-    by = np.argsort(seg, kind="stable")
-    seg, earlier = seg[by], earlier[by]
-    names, start = np.unique(seg, return_index=True)
-    edges = np.append(start, len(seg))
-    rows = [(int(s), int(pdf["bucket"].iloc[0]), np.packbits(earlier[edges[i] : edges[i + 1]]).tobytes()) for i, s in enumerate(names) if s >= 0 and earlier[edges[i] : edges[i + 1]].any()]
-    rows.append((-1, int(pdf["bucket"].iloc[0]), run))
+    place = np.empty(len(order), np.int64)
+    place[order] = np.cumsum(new) - 1
+    bucket = int(pdf["bucket"].iloc[0])
+    sends: dict[int, list[np.ndarray]] = {}
+    at = 0
+    for s, k, _ in parts:  # each is sorted, so its places ascend
+        sends.setdefault(s, []).append(place[at : at + len(k)])
+        at += len(k)
+    rows = []
+    for s, own in sends.items():
+        if s < 0:
+            continue
+        places = own[0] if len(own) == 1 else np.unique(np.concatenate(own))  # a segment read by several tasks may send a fingerprint twice
+        earlier = s > first[places]
+        if earlier.any():
+            rows.append((s, bucket, np.packbits(earlier).tobytes()))
+    rows.append((-1, bucket, run))
     return pd.DataFrame(rows, columns=["segment", "bucket", "packed"])
 
 
@@ -246,12 +270,9 @@ def numbered(docs: DataFrame) -> DataFrame:
 def removed(ids: list[int], texts: list[str | None], answers: dict[int, bytes], buckets: int, words: Words) -> list[tuple[int, int, bytes]]:
     """For each document of a segment: words, words removed, the words kept joined by a space."""
     s = Segment(ids, texts, words)
-    order = np.lexsort((s.doc, s.check, s.key))
-    gone = s.later_here(order)
-    key, check = s.key[order], s.check[order]
-    new = np.ones(len(key), bool)
-    new[1:] = (key[1:] != key[:-1]) | (check[1:] != check[:-1])
-    to = bucket_of(key[new], buckets)
+    order, new = in_order(s.key, s.check)
+    gone = s.later_here(order, new)
+    to = bucket_of(s.key[order[new]], buckets)
     earlier = np.zeros(len(to), bool)
     for b, bits in answers.items():
         own = np.flatnonzero(to == b)

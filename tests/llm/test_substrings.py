@@ -88,3 +88,22 @@ def test_packing_round_trip():
     a, b = S.unpack(S.pack(k, c))
     assert (a == k).all() and (b == c).all()
     assert len(S.unpack(S.pack(k[:0], c[:0]))[0]) == 0
+
+
+def test_order_of_fingerprints_that_begin_alike():
+    import numpy as np
+
+    rng = np.random.default_rng(2)
+    k = rng.integers(0, 20, 4000, dtype=np.uint64)
+    c = rng.integers(0, 3, 4000, dtype=np.uint64) << np.uint64(S.CHECK_BITS - 16) | rng.integers(0, 5, 4000, dtype=np.uint64)
+    order, new = S.in_order(k, c)
+    pairs = list(zip(k[order].tolist(), c[order].tolist(), strict=True))
+    assert sorted(order.tolist()) == list(range(4000)) and pairs == sorted(pairs)
+    assert new.tolist() == [i == 0 or pairs[i] != pairs[i - 1] for i in range(4000)]
+    values = rng.integers(0, 1000, 4000)
+    want = {}
+    for p, v in zip(zip(k.tolist(), c.tolist(), strict=True), values.tolist(), strict=True):
+        want[p] = min(v, want.get(p, v))
+    assert S.least(values[order], new).tolist() == [want[p] for p, n in zip(pairs, new, strict=True) if n]
+    empty = np.zeros(0, np.uint64)
+    assert all(len(x) == 0 for x in S.in_order(empty, empty))
