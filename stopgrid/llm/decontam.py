@@ -25,6 +25,8 @@ from pyspark.broadcast import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import trimmed
+
 WINDOW = 13
 #: Bytes to bytes: A-Z to a-z; 0-9, a-z and all beyond ASCII stay; the rest is a space.
 FOLD = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
@@ -203,7 +205,7 @@ def find_matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
             rows = [(n, sum(e - s for s, e in spans), [s for s, _ in spans], [e for _, e in spans], items, best, is_contaminated(n, spans)) for n, spans, items, best in found]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), *(pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds))], names)
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, HITS)
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(trimmed(run), HITS)
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -215,5 +217,5 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
             found = [x for part in shards(b.column("text").to_pylist()) for x in judge(part, blocks)]
             yield b.filter(pa.array([not is_contaminated(n, spans) for n, spans, _, _ in found], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(trimmed(run), docs.schema)
 

@@ -32,7 +32,7 @@ from pyspark.broadcast import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import spare, written
+from .common import spare, trimmed, written
 from .graph import components
 from .shingles import Words, shingle_set
 
@@ -75,7 +75,7 @@ def first_pass(docs: DataFrame, k: int) -> DataFrame:
         yield pa.RecordBatch.from_arrays([*(pa.nulls(SLICES, t) for t in kinds[:4]), pa.array(range(SLICES), pa.int32()), pa.array([packed.compress(p.tobytes(), asbytes=True) for p in parts], pa.binary())], names)
 
     source = docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("row"), "text")
-    return written(source.mapInArrow(run, "doc_id long, row long, cls long, n long, slice int, counts binary"), "shingled")
+    return written(source.mapInArrow(trimmed(run), "doc_id long, row long, cls long, n long, slice int, counts binary"), "shingled")
 
 
 def frequency(first: DataFrame) -> Broadcast:
@@ -143,7 +143,7 @@ def postings(docs: DataFrame, sketch: Broadcast, t: Fraction, k: int) -> DataFra
             if tokens:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(tokens).view(np.int64)), pa.array(np.concatenate(classes)), pa.array(np.concatenate(sizes))], names)
 
-    return docs.select("text").mapInArrow(run, "token long, cls long, n int")
+    return docs.select("text").mapInArrow(trimmed(run), "token long, cls long, n int")
 
 
 def shared(found: DataFrame, t: Fraction) -> DataFrame:
@@ -171,7 +171,7 @@ def shared(found: DataFrame, t: Fraction) -> DataFrame:
         if len(was) and was[0]:
             yield pa.RecordBatch.from_arrays([pa.array(held[0]), pa.array(held[1]), pa.array(held[2].astype(np.int32))], ["token", "cls", "n"])
 
-    return written(found.repartition("token").sortWithinPartitions("token", "n", "cls").mapInArrow(run, "token long, cls long, n int"), "shared")
+    return written(found.repartition("token").sortWithinPartitions("token", "n", "cls").mapInArrow(trimmed(run), "token long, cls long, n int"), "shared")
 
 
 def enough(postings: DataFrame, t: Fraction) -> DataFrame:
@@ -200,7 +200,7 @@ def ties(found: DataFrame, t: Fraction) -> DataFrame:
             pairs = np.unique(np.stack([head[differ], cl[differ]], 1), axis=0)
             yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(pairs[:, 0])), pa.array(np.ascontiguousarray(pairs[:, 1]))], ["u", "v"])
 
-    return found.repartition("token").sortWithinPartitions("token", "n", "cls").mapInArrow(run, "u long, v long").distinct()
+    return found.repartition("token").sortWithinPartitions("token", "n", "cls").mapInArrow(trimmed(run), "u long, v long").distinct()
 
 
 def places(first: DataFrame, labels: DataFrame) -> DataFrame:
@@ -230,7 +230,7 @@ def wanted(found: DataFrame) -> Broadcast:
             out |= np.frombuffer(x, np.uint8)
         return pd.DataFrame({"part": [0], "bits": [out.tobytes()]})
 
-    rows = found.select("row").coalesce(64).mapInArrow(run, "part int, bits binary").groupBy("part").applyInPandas(either, "part int, bits binary").collect()
+    rows = found.select("row").coalesce(64).mapInArrow(trimmed(run), "part int, bits binary").groupBy("part").applyInPandas(either, "part int, bits binary").collect()
     bits = np.unpackbits(np.frombuffer(rows[0]["bits"], np.uint8)).astype(bool) if rows else np.zeros(BITS, bool)
     return found.sparkSession.sparkContext.broadcast(bits)
 
@@ -251,7 +251,7 @@ def sets_of(docs: DataFrame, asked: Broadcast, k: int) -> DataFrame:
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array([c for c, _ in out], pa.int64()), pa.array([s for _, s in out], pa.binary())], ["cls", "shingles"])
 
-    return docs.select(F.xxhash64("text").alias("row"), "text").mapInArrow(run, "cls long, shingles binary")
+    return docs.select(F.xxhash64("text").alias("row"), "text").mapInArrow(trimmed(run), "cls long, shingles binary")
 
 
 def link(classes: np.ndarray, sets: list[np.ndarray], sketch: np.ndarray, t: Fraction, side: np.ndarray | None = None) -> tuple[list[tuple[int, int]], int]:

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import trimmed, written
 
 DIM, VOCABULARY, SHAPES, NONZERO, HIDDEN = 32, 4096, 1024, 6, 32
 THRESHOLD = 0.7
@@ -219,7 +219,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
             s = scorer(b.column("text").to_pylist())
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("held_out"), pa.array(s, pa.float64()), pa.array((s >= THRESHOLD).astype(np.int32), pa.int32())], names)
 
-    return docs.select("doc_id", held_out().alias("held_out"), "text").mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int")
+    return docs.select("doc_id", held_out().alias("held_out"), "text").mapInArrow(trimmed(run), "doc_id long, held_out boolean, score double, predicted int")
 
 
 def keep_good(docs: DataFrame, model: Model) -> DataFrame:
@@ -231,4 +231,4 @@ def keep_good(docs: DataFrame, model: Model) -> DataFrame:
         for b in batches:
             yield b.filter(pa.array(scorer(b.column("text").to_pylist()) >= THRESHOLD, pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(trimmed(run), docs.schema)

@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import release, shared_dir, tasks_of
+from .common import release, shared_dir, tasks_of, trimmed
 from .shingles import ODD, WORDS, Words, mixed, windows, words_of
 
 WINDOW, GRAM, SEGMENT = 13, 6, 1024
@@ -144,7 +144,7 @@ def sent(docs: DataFrame, buckets: int) -> DataFrame:
                 full = np.flatnonzero(np.diff(edges))
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(full), seg), pa.int64()), pa.array(full, pa.int32()), pa.array([pack(key[o], check[o]) for o in (order[edges[f] : edges[f + 1]] for f in full)], pa.binary())], ["segment", "bucket", "packed"])
 
-    return docs.mapInArrow(run, "segment long, bucket int, packed binary")
+    return docs.mapInArrow(trimmed(run), "segment long, bucket int, packed binary")
 
 
 def merge(pdf: pd.DataFrame) -> pd.DataFrame:

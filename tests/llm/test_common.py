@@ -12,3 +12,11 @@ def test_maybe_in_loses_none(spark):
 
 def test_spare_names():
     assert C.spare(["a", "_D", "_d_"], "_d", "_r", "_r") == ["_d__", "_r", "_r_"]
+
+
+def test_trimmed_passes_every_batch_on(spark):
+    from stopgrid.llm.common import trimmed
+
+    rows = spark.range(1000, numPartitions=3)
+    assert rows.mapInArrow(trimmed(lambda batches: batches), "id long").count() == 1000
+    assert rows.where("id < 0").mapInArrow(trimmed(lambda batches: batches), "id long").count() == 0
