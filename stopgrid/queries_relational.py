@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .functions import geo
 from .operators.graph import components
 from .operators.rel import first_per, top_per, update_from, upsert_add
+from .operators.spatial import around
 from .registry import Registry, load, run_sql
 
 R = Registry()
@@ -42,8 +44,10 @@ def prj_macro(spark: SparkSession, sf_dir: str) -> DataFrame:
         return F.abs(a - b) <= m
 
     c = load(spark, sf_dir, "customer").select("c_custkey", "c_nationkey", "c_acctbal")
-    a, b = c.alias("a"), c.alias("b")
-    return a.join(b, (F.col("a.c_nationkey") == F.col("b.c_nationkey")) & (F.col("a.c_custkey") < F.col("b.c_custkey")) & near(F.col("a.c_acctbal"), F.col("b.c_acctbal"), 25)).select(F.col("a.c_custkey").alias("a"), F.col("b.c_custkey").alias("b"))
+    reach = 25.001  # of a cell: balances that are near are in the same one or the next, so not all pairs of a nation are met
+    a = c.withColumn("cell", F.explode(around(F.col("c_acctbal"), reach))).repartition("c_nationkey", "cell").alias("a")
+    b = c.withColumn("cell", geo.cell(F.col("c_acctbal"), reach)).alias("b")
+    return a.join(b, (F.col("a.c_nationkey") == F.col("b.c_nationkey")) & (F.col("a.cell") == F.col("b.cell")) & (F.col("a.c_custkey") < F.col("b.c_custkey")) & near(F.col("a.c_acctbal"), F.col("b.c_acctbal"), 25)).select(F.col("a.c_custkey").alias("a"), F.col("b.c_custkey").alias("b"))
 
 
 # --- joins
