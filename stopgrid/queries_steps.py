@@ -34,7 +34,7 @@ def duck(sql: str) -> str:
 
 # --- one build for each session and folder: steps and serving queries read the tables that it wrote
 _built: dict[tuple[str, str], dict[str, DataFrame]] = {}
-WRITTEN = ("rels", "stops", "stations", "station_objects", "rel_members")  # by the build itself
+WRITTEN = ("rels", "stops", "stations", "station_objects", "rel_members", "route_stops", "line_routes")  # by the build itself
 
 
 def built(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
